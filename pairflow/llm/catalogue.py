@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, packing, urls
+from . import extraction, fingerprints, language, language_model, media, near_dups, packing, quality, urls
 from .common import table
 
 QUERIES = {}
@@ -45,3 +45,33 @@ def op9_packing(spark, sf_dir):
 @_query
 def op10_media_columns(spark, sf_dir):
     return media.media_digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_language_id(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_quality_classifier(spark, sf_dir):
+    return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op2_near_duplicates(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_lm_scoring(spark, sf_dir):
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_html_extraction(spark, sf_dir):
+    return extraction.extracted(table(spark, sf_dir, "pages"))

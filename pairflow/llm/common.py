@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,31 +70,56 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts, words per text, and bytes per word.
+class Words(NamedTuple):
+    """Words of some texts joined by blanks: the bytes, each word's start, end and hash, and words per text."""
+
+    raw: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    per_text: np.ndarray
+
+
+def scan_words(texts: list[str | None], lower: bool = True) -> Words:
+    """Words are runs of bytes other than ``SPACES``; A-Z count as a-z in hashes if ``lower``.
 
-    Words are runs of bytes other than ``SPACES``; A-Z count as a-z if ``lower``.
     A word's hash depends on its bytes alone. Null counts as empty.
     """
     coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     raw = np.frombuffer(b" ".join(coded) + b" ", dtype=np.uint8)
-    ends_of_text = np.cumsum([len(c) + 1 for c in coded])
-    if lower:
-        raw = _LOWER[raw]
+    text_ends = np.cumsum([len(c) + 1 for c in coded])
     inside = _KIND[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    per_text = np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_text))))
+    per_text = np.diff(np.concatenate(([0], np.searchsorted(starts, text_ends))))
     if not len(starts):
-        return np.zeros(0, U64), per_text, np.zeros(0, np.int64)
+        return Words(raw, starts, ends, np.zeros(0, U64), per_text)
     lengths = ends - starts
-    at = np.arange(len(raw), dtype=np.int64) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(raw)]))))
-    # Position counts within a word; a block of 64 bytes shifts the value so that no position repeats.
-    values = (raw.astype(U64) + U64(1) + (at >> 6).astype(U64) * U64(0x51_7C_C1_B7)) * _POWERS[at & 63]
+    since = np.arange(len(raw), dtype=np.int64) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(raw)]))))
+    values = ((_LOWER[raw] if lower else raw).astype(U64) + U64(1)) * _POWERS[since & 63]
     values[~inside] = 0
-    sums = np.add.reduceat(mix(values), starts) if lengths.max() > 64 else np.add.reduceat(values, starts)
-    if lengths.max() > 64:
-        # Keep the short words' hashes the same whatever else is in the batch.
-        plain = np.add.reduceat(values, starts)
-        sums = np.where(lengths > 64, sums, plain)
-    return mix(sums ^ (lengths.astype(U64) * U64(0x9FB21C651E98DF25))), per_text, lengths
+    sums = np.add.reduceat(values, starts)
+    # Past 64 bytes the powers repeat: there each byte is mixed with its place.
+    for i in np.flatnonzero(lengths > 64).tolist():
+        a, b = starts[i], ends[i]
+        sums[i] = mix(values[a:b] ^ mix(since[a:b].astype(U64))).sum(dtype=U64)
+    return Words(raw, starts, ends, mix(sums ^ (lengths.astype(U64) * U64(0x9FB21C651E98DF25))), per_text)
+
+
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, words per text, and bytes per word."""
+    w = scan_words(texts, lower)
+    return w.hashes, w.per_text, w.ends - w.starts
+
+
+def together(texts: pa.Array, most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of a string array with about ``most`` bytes, or one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n + 8
+    if start < len(sizes):
+        yield slice(start, len(sizes))
