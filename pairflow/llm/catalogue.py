@@ -75,3 +75,10 @@ def op8_lm_scoring(spark, sf_dir):
 @_query
 def op4_html_extraction(spark, sf_dir):
     return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+@_query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -34,6 +34,8 @@ EMBEDDED = 8
 SAMPLE_DOCUMENTS = 700
 SAMPLE_CHARACTERS = 1500
 SAMPLE_LANGUAGES = 400
+#: A document whose best language scores less is in none of them.
+LEAST_SCORE = 0.4
 EPOCHS = 4
 RATE = 0.01
 _CHUNK = 96
@@ -220,3 +222,22 @@ def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, by a network that learnt from the others' folds."""
     found = identified(docs, learn(docs))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def _keeping(model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = model.value.folded()
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for s in together(batch.column(at)):
+                part = batch.slice(s.start, s.stop - s.start)
+                labels, scores = network.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([label != UNKNOWN and score >= least for label, score in zip(labels, scores, strict=True)], pa.bool_()))
+
+    return run
+
+
+def documents_with_language(docs: DataFrame, network: ByteNetwork, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows in a language that was learnt, with all their columns: neither ``und`` nor scored below ``least``."""
+    model = docs.sparkSession.sparkContext.broadcast(network)
+    return docs.mapInArrow(_keeping(model, least), docs.schema)

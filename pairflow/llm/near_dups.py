@@ -80,7 +80,7 @@ def signatures_of(sets: list[np.ndarray]) -> np.ndarray:
     return (mix(least) >> U64(48)).astype(np.uint16).view(np.int16)
 
 
-_SIGNED = "doc_id long, n_shingles long, node binary, signature array<short>"
+_SIGNED = "doc_id long, tie long, n_shingles long, node binary, signature array<short>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +91,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [x for x in sets if len(x)]
             rows = iter(signatures_of(full).tolist() if full else [])
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.binary()), pa.array([next(rows) if len(x) else None for x in sets], pa.list_(pa.int16()))],
-                names=["doc_id", "n_shingles", "node", "signature"],
+                [part["doc_id"], part["tie"], pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.binary()), pa.array([next(rows) if len(x) else None for x in sets], pa.list_(pa.int16()))],
+                names=["doc_id", "tie", "n_shingles", "node", "signature"],
             )
 
 
@@ -224,18 +224,40 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, tie, n_shingles, node), a tie being the text's hash, and every node's (node, root, rep): its component's smallest node and smallest id."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     signed = written(docs.mapInArrow(_sign, _SIGNED))
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature")))
     roots = _links(nodes, docs)
-    named = nodes.select("node", "rep")
+    rooted = _rooted(nodes.select("node", "rep"), roots, "node", "root")
     if roots is not None:
-        rooted = written(_rooted(named, roots, "node", "root"))
-        least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
-        named = rooted.join(least, "root").select("node", F.col("least").alias("rep"))
-    found = signed.where("node is not null").join(named, "node").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+        rooted = written(rooted)
+        rooted = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("rep")), "root")
+    return signed.drop("signature"), rooted.select("node", "root", "rep")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    signed, rooted = _grouped(docs)
+    found = signed.where("node is not null").join(rooted, "node").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     alone = signed.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    every = found.union(alone)
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The table with one document of each component: that with the smallest id (nulls last), then the smallest hash of its text.
+
+    All columns stay as they are. Documents without words are all kept.
+    """
+    signed, rooted = _grouped(docs)
+    placed = written(signed.where("node is not null").join(rooted, "node").select("doc_id", "tie", "root"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "tie")
+    first = placed.groupBy("root").agg(F.min(place).alias("first"))
+    gone = written(placed.join(first, "root").where(place != F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct())
+    if rows_upto(gone, BROADCAST_IDS):
+        gone = F.broadcast(gone)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_gone_tie"))
+    kept = docs.join(gone, same, "left_anti")
+    again = placed.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept

@@ -196,3 +196,20 @@ def qualities(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """doc_id, held_out, score and predicted of every document."""
     rows = scored(docs, learn(docs, labels))
     return rows.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _keeping(model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for s in together(batch.column(at)):
+                part = batch.slice(s.start, s.stop - s.start)
+                yield part.filter(pa.array(model.value.scores(part.column(at).to_pylist()) >= threshold))
+
+    return run
+
+
+def good_documents(docs: DataFrame, scorer: AttentionScorer, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(scorer)
+    return docs.mapInArrow(_keeping(model, threshold), docs.schema)
