@@ -243,12 +243,12 @@ def full_outer_append_reduce(spark, sf_dir):
     return job.to_df(spark).select(F.col("k").alias("nationkey"), F.col("v._1").alias("suppliers"), F.col("v._2").alias("customers"))
 
 
-@query("select s_nationkey as nationkey, s_suppkey as suppkey, c_custkey as custkey from supplier full join customer on s_nationkey = c_nationkey and s_suppkey % 50 = c_custkey % 50")
+@query("select coalesce(s_nationkey, -1) as nationkey, coalesce(s_suppkey, -1) as suppkey, coalesce(c_custkey, -1) as custkey from supplier full join customer on s_nationkey = c_nationkey and s_suppkey % 50 = c_custkey % 50")
 def full_outer_join(spark, sf_dir):
     """Many to many, on a composite key."""
     key = lambda nation, number: F.struct(F.col(nation).alias("_1"), (F.col(number) % 50).alias("_2"))
     job = _scan(sf_dir, "supplier", key("s_nationkey", "s_suppkey"), F.struct("s_nationkey", "s_suppkey")).full_outer(_scan(sf_dir, "customer", key("c_nationkey", "c_custkey"), "c_custkey"))
-    return job.to_df(spark).select(F.col("v._1.s_nationkey").alias("nationkey"), F.col("v._1.s_suppkey").alias("suppkey"), F.col("v._2").alias("custkey"))
+    return job.to_df(spark).select(*[F.coalesce(f"v.{c}", F.lit(-1)).alias(name) for c, name in (("_1.s_nationkey", "nationkey"), ("_1.s_suppkey", "suppkey"), ("_2", "custkey"))])
 
 
 @query("select distinct l_shipdate as shipdate from lineitem")
