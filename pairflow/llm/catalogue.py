@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, fingerprints, language, language_model, media, near_dups, packing, quality, urls
+from . import extraction, fingerprints, language, language_model, media, near_dups, packing, quality, sentencepieces, urls
 from .common import table
 
 QUERIES = {}
@@ -82,3 +82,8 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query
+def op7_sentencepiece(spark, sf_dir):
+    return sentencepieces.piece_digests(table(spark, sf_dir, "documents"))
