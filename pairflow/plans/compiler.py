@@ -8,12 +8,13 @@ from collections.abc import Iterable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidAction
 from ..functions.keys import check_key
 from ..operators import combine, map, partitions, reduce
 from ..sources import pairs
-from .nodes import SINKS, Action, Node
+from .nodes import SINKS, Action, Node, pair_schema
 
 
 def reachable(nodes: Iterable[Node]) -> list[Node]:
@@ -75,22 +76,23 @@ class Compiler:
         raise InvalidAction(str(node.action))
 
     def _parallelize(self, node: Node) -> DataFrame:
-        return map.with_hook(pairs.from_items(self.spark, node.block(), node.schema), node.before)
+        kind = T.StructType.fromDDL(f"k {node.schema}")["k"].dataType if isinstance(node.schema, str) else node.schema
+        return map.with_hook(pairs.from_items(self.spark, node.block(), kind), node.before)
 
     def _scan(self, node: Node) -> DataFrame:
         return pairs.scan(node.block(self.spark), node.options["key"], node.options["value"])
 
     def _load(self, node: Node) -> DataFrame:
-        return pairs.load(self.spark, node.options["prefix"], node.partitions, node.schema)
+        return pairs.load(self.spark, node.options["prefix"], node.partitions, pair_schema(node.schema))
 
     def _map(self, node: Node, frame: DataFrame) -> DataFrame:
         if node.schema is not None:
-            return map.map_python(frame, node.block, node.schema, node.before)
+            return map.map_python(frame, node.block, pair_schema(node.schema), node.before)
         return map.map_columns(map.with_hook(frame, node.before), node.block)
 
     def _map_partitions(self, node: Node, frame: DataFrame) -> DataFrame:
         # The block sees the layout of the step before; its own is that of its output.
-        return partitions.map_partitions(frame, node.block, node.schema, node.parent.partitions, node.parent.partitioner, node.before)
+        return partitions.map_partitions(frame, node.block, pair_schema(node.schema), node.parent.partitions, node.parent.partitioner, node.before)
 
     def _reduce(self, node: Node, frame: DataFrame) -> DataFrame:
         if isinstance(node.block, str):
@@ -104,7 +106,7 @@ class Compiler:
         right = combine.unique_right(right, node.other.unique, node.options["on_duplicate"])
         joined = combine.joined(left, right)
         if node.schema is not None:
-            return combine.combine_python(joined, node.block, node.schema, node.before)
+            return combine.combine_python(joined, node.block, pair_schema(node.schema), node.before)
         return combine.combine_columns(map.with_hook(joined, node.before), node.block)
 
     def _append(self, node: Node, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -16,19 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidStep
-from ..functions.keys import check_key
 from ..functions.partitioning import hash_partitioner
 from .nodes import Action, Node
 
 
-def pair_schema(schema: str | T.StructType) -> T.StructType:
-    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if [f.name for f in out.fields] != ["k", "v"]:
-        raise InvalidStep("a schema has the fields k and v")
-    check_key(out["k"].dataType)
-    return out
-
-
 class Job:
     """A logical pipeline and the layout of its pairs."""
 
@@ -70,8 +61,7 @@ class Job:
 
     def parallelize(self, block: Callable[[], Iterable], *, partitions: int, partitioner=None, key: str | T.DataType | None = None, enqueuer: str | None = None, before: Callable | None = None) -> Job:
         """A pair (item, null) for every item of the block, which runs on the driver. Duplicates are kept."""
-        kind = T.StructType.fromDDL(f"k {key}")["k"].dataType if isinstance(key, str) else key
-        return self._step(Action.PARALLELIZE, source=True, partitions=partitions, partitioner=partitioner, enqueuer=enqueuer, before=before, block=block, schema=kind)
+        return self._step(Action.PARALLELIZE, source=True, partitions=partitions, partitioner=partitioner, enqueuer=enqueuer, before=before, block=block, schema=key)
 
     def scan(self, frame: Callable | DataFrame, key, value=None, *, partitions: int, partitioner=None, unique: bool = False) -> Job:
         """Pairs from a table's columns. ``unique`` promises that no key comes twice."""
@@ -79,22 +69,22 @@ class Job:
 
     def load(self, *, prefix: str, partitions: int, partitioner, schema: str | T.StructType, concurrency: int | None = None, enqueuer: str | None = None) -> Job:
         """The pairs that ``dump`` wrote under the prefix. Spark's readers choose their own concurrency."""
-        return self._step(Action.LOAD, source=True, partitions=partitions, partitioner=partitioner, enqueuer=enqueuer, schema=pair_schema(schema), options={"prefix": prefix, "concurrency": concurrency})
+        return self._step(Action.LOAD, source=True, partitions=partitions, partitioner=partitioner, enqueuer=enqueuer, schema=schema, options={"prefix": prefix, "concurrency": concurrency})
 
     # Steps
 
     def map(self, block: Callable, *, schema: str | T.StructType | None = None, partitions: int | None = None, partitioner=None, jobs: int | None = None, enqueuer: str | None = None, before: Callable | None = None) -> Job:
-        return self._step(Action.MAP, block=block, schema=schema and pair_schema(schema), partitions=partitions, partitioner=partitioner, jobs=jobs, enqueuer=enqueuer, before=before)
+        return self._step(Action.MAP, block=block, schema=schema, partitions=partitions, partitioner=partitioner, jobs=jobs, enqueuer=enqueuer, before=before)
 
     def map_partitions(self, block: Callable, *, schema: str | T.StructType, partitions: int | None = None, partitioner=None, jobs: int | None = None, enqueuer: str | None = None, before: Callable | None = None) -> Job:
-        return self._step(Action.MAP_PARTITIONS, block=block, schema=pair_schema(schema), partitions=partitions, partitioner=partitioner, jobs=jobs, enqueuer=enqueuer, before=before)
+        return self._step(Action.MAP_PARTITIONS, block=block, schema=schema, partitions=partitions, partitioner=partitioner, jobs=jobs, enqueuer=enqueuer, before=before)
 
     def reduce(self, block: Callable | str, *, python: bool = False, jobs: int | None = None, enqueuer: str | None = None, before: Callable | None = None) -> Job:
         """A native aggregate by name, a column block, or a Python block."""
         return self._step(Action.REDUCE, block=block, jobs=jobs, enqueuer=enqueuer, before=before, options={"python": python})
 
     def combine(self, other: Job, block: Callable, *, schema: str | T.StructType | None = None, on_duplicate: str = "error", jobs: int | None = None, enqueuer: str | None = None, before: Callable | None = None) -> Job:
-        return self._step(Action.COMBINE, other=_node(other), block=block, schema=schema and pair_schema(schema), jobs=jobs, enqueuer=enqueuer, before=before, options={"on_duplicate": on_duplicate})
+        return self._step(Action.COMBINE, other=_node(other), block=block, schema=schema, jobs=jobs, enqueuer=enqueuer, before=before, options={"on_duplicate": on_duplicate})
 
     def append(self, other: Job, *, jobs: int | None = None, enqueuer: str | None = None, before: Callable | None = None) -> Job:
         return self._step(Action.APPEND, other=_node(other), jobs=jobs, enqueuer=enqueuer, before=before)
