@@ -126,7 +126,7 @@ def within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks:
         text = F.concat(*bits(name))
         parts = [F.substring(text, lo + 1, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
         keys = F.array(*[F.xxhash64(F.lit(t), *[parts[i] for i in table]) for t, table in enumerate(tables)])
-        return frame.select("fingerprint").distinct().select(F.col("fingerprint").alias(name), F.posexplode(keys).alias("table", "key"))
+        return frame.select(F.col("fingerprint").alias(name)).distinct().select(name, F.posexplode(keys).alias("table", "key"))
 
     a, b = keyed(queries, "query_fingerprint"), keyed(fingerprints, "fingerprint")
     halves = [(F.conv(F.hex(F.substring(x, lo, 8)), 16, -10).cast("long")) for x in ("query_fingerprint", "fingerprint") for lo in (1, 9)]

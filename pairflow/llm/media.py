@@ -160,7 +160,7 @@ def _tags(data: bytes) -> tuple[dict, int]:
 
 
 def read_media(data: bytes, unit: int = UNIT) -> Media:
-    """Every frame of a file. A header counts only if another of the same kind, the end or a tag follows its frame."""
+    """Every frame of a file. A header counts if it goes on as the frame before began, or if another of its kind, the end or a tag follows its frame."""
     tags, at = _tags(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
     start, table, offsets, damaged, parts, kinds = at, None, [], [], [], set()
@@ -174,11 +174,13 @@ def read_media(data: bytes, unit: int = UNIT) -> Media:
             seen[key] = read_header(int.from_bytes(key, "big")) if len(key) == 4 else None
         return seen[key]
 
-    synced = False
+    synced, kind = False, 0
     while at + 4 <= end:
         h = header(at)
         after = at + h.length if h else 0
-        if h and after <= end and not (synced and h.rate == rate and h.version == version and h.layer == layer):
+        # Sync, version, layer, protection, rate and channels stay the same in a stream.
+        own = int.from_bytes(data[at : at + 4], "big") & 0xFFFF0CC0
+        if h and after <= end and not (synced and own == kind):
             follows = header(after) if after < end else None
             if after != end and not (follows and (follows.version, follows.layer, follows.rate) == (h.version, h.layer, h.rate)):
                 h = None
@@ -189,7 +191,7 @@ def read_media(data: bytes, unit: int = UNIT) -> Media:
             skipped += following - at
             at = following
             continue
-        synced, version, layer, rate = True, h.version, h.layer, h.rate
+        synced, kind, rate = True, own, h.rate
         body = at + 4 + 2 * h.protected
         side = body + (side_length(h) if h.layer == 3 else 0)
         if h.layer == 3 and not offsets and table is None and data[side : side + 4] in (b"Xing", b"Info"):

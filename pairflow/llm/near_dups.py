@@ -8,11 +8,20 @@ most ``DISTANCE // CHUNKS`` (one) symbol: each node enumerates every chunk with
 each of its symbols left out, and such pairs are sure to meet in an equi-join.
 Whatever meets and is near enough by signature is confirmed on the full sets.
 
-No bucket's pairs are all written out. Each member first meets its bucket's
-smallest node; confirmed links make components; then only members of different
-components of a bucket meet. So links are lost only if their signatures are
-further apart than ``DISTANCE`` (of 32 symbols 0.15 * 32 = 4.8 differ on average
-at the threshold; more than 13 in about one pair of 20,000).
+No bucket's pairs are all written out. Each member first meets the bucket's
+central node, the one whose buckets have the most members; confirmed links make
+components. What is left are members in other components than most of their
+bucket. They and their bucket are compared with one hub ``r`` of that component:
+if ``a`` is not linked with ``r``, then a link of ``a`` with any ``b`` needs
+
+    |a & b| >= LEAST (|a| + |b|) / (PER + LEAST),  but  |a & b & r| <= |a & r|,
+
+so that ``a`` and ``b`` must share so many shingles that ``r`` lacks as the two
+differ by. Such pairs meet on the rarest of those (a prefix filter); where the
+bound asks for none, the node meets its whole bucket. So links are lost only if
+their signatures are further apart than ``DISTANCE`` (of 32 symbols 0.15 * 32 =
+4.8 differ on average at the threshold; more than 13 in about one pair of
+20,000), and copies of one text that are edited apart don't meet in pairs.
 
 Documents without words, and null texts, have no set and are their own
 component. Fewer than five words are one shingle. Repeated rows are copies. A
@@ -27,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, mix, rows_upto, together, word_hashes, written
@@ -111,12 +121,31 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
             if len(x) > len(y):
                 x, y = y, x
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            common = int(_in(x, y).sum())
             keep.append(PER * common >= LEAST * (len(x) + len(y) - common))
         yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
+def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y; both sorted."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+_REMAINDER = "a binary, b binary, a_n long, b_n long, common long, rest array<long>"
+
+
+def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles a and b share, and those of a that b lacks."""
+    for batch in batches:
+        rows = []
+        for a, b in zip(batch["a_set"], batch["b_set"], strict=True):
+            x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
+            both = _in(x, y)
+            rows.append((len(x), len(y), int(both.sum()), x[~both].view(np.int64)))
+        sizes = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _REMAINDER.split(", ")])
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
     """(key, node): each chunk of the signature without each of its symbols in turn."""
     edges = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
@@ -140,8 +169,8 @@ def _as(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("signature").alias(f"{name}_s"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on the full sets, read again from the texts of one document each."""
+def _with_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their full sets, read again from the text of one document each."""
     need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     ids = need.join(nodes, "node").select("rep").distinct()
     if rows_upto(ids, BROADCAST_IDS):
@@ -150,7 +179,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     sets = written(texts.mapInArrow(_full_sets, "node binary, shingles binary").where("node is not null").dropDuplicates(["node"]))
     with_a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return written(with_b.select("a", "b", "a_set", "b_set").mapInArrow(_confirm, "a binary, b binary"))
+    return with_b.select("a", "b", "a_set", "b_set")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold on the full sets."""
+    return written(_with_sets(pairs, nodes, docs).mapInArrow(_confirm, "a binary, b binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,43 +219,89 @@ def _rooted(frame: DataFrame, roots: DataFrame | None, column: str, name: str) -
     return frame.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+class _Links:
+    """Confirmed links so far, and the components that they make."""
+
+    def __init__(self):
+        self.edges: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def add(self, edges: DataFrame) -> None:
+        if edges.limit(1).count():
+            self.edges = edges if self.edges is None else self.edges.union(edges)
+            self.roots = components(self.edges)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) that are in different components."""
+        if self.roots is None:
+            return pairs
+        both = _rooted(_rooted(pairs, self.roots, "a", "a_root"), self.roots, "b", "b_root")
+        return written(both.where("a_root <> b_root").drop("a_root", "b_root"))
+
+
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, root) of all nodes with a link; None if there is no link."""
     # Sets this small are only linked if they are equal.
     able = nodes.where((F.col("n") + 1) * LEAST <= F.col("n") * PER)
     keys = _keys(able)
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
-    members = written(keys.join(shared, "key").select("key", "node", "first"))
-    star = members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    star = written(star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b")).select("a", "b"))
-    roots, edges = None, []
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal roots
-        if not pairs.limit(1).count():
-            return
-        edges.append(_confirmed(pairs, able, docs))
-        every = edges[0]
-        for more in edges[1:]:
-            every = every.union(more)
-        roots = components(every)
-
-    # Each node with the smallest of all its buckets, then with the others' that are still in another component.
-    confirm(star.groupBy("a").agg(F.min("b").alias("b")))
-    if roots is not None:
-        confirm(written(_rooted(_rooted(star, roots, "a", "a_root"), roots, "b", "b_root").where("a_root <> b_root").select("a", "b")))
-    # Members of a bucket that are in other components than most of it, with all that are in another component than they.
-    placed = written(_rooted(members.select("key", "node"), roots, "node", "root"))
-    most = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    live = written(placed.join(most, "key"))
-    if live.limit(1).count():
-        known = live.join(_as(able, "node"), "node")
-        few = known.where("root <> top").select("key", F.col("root").alias("a_root"), F.col("node").alias("a"), F.col("node_n").alias("a_n"), F.col("node_s").alias("a_s"))
-        all_ = known.select("key", "top", F.col("root").alias("b_root"), F.col("node").alias("b"), F.col("node_n").alias("b_n"), F.col("node_s").alias("b_s"))
-        once = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("top")) | (F.col("a") < F.col("b")))
-        met = few.join(all_, (few["key"] == all_["key"]) & once & _may_link("a", "b"))
-        confirm(written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-    return roots
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
+    members = written(keys.join(shared, "key").select("key", "node", "size"))
+    central = members.groupBy("node").agg(F.struct(F.sum("size").alias("weight"), F.col("node").alias("id")).alias("central"))
+    members = written(members.drop("size").join(central, "node"))
+    leaders = members.groupBy("key").agg(F.max("central").alias("leader"))
+    star = members.join(leaders, "key").where("node <> leader.id").select(F.col("node").alias("a"), F.col("leader.id").alias("b"), F.col("leader.weight").alias("weight")).distinct()
+    star = written(star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b")).select("a", "b", "weight"))
+    links = _Links()
+
+    # Each node with the most central of all its buckets, then with the others' that are still in another component.
+    links.add(_confirmed(star.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")), able, docs))
+    rest = links.apart(star.select("a", "b"))
+    if rest.limit(1).count():
+        links.add(_confirmed(rest, able, docs))
+
+    # Buckets that still have several components: all their members with the most central node of the largest.
+    placed = written(_rooted(members, links.roots, "node", "root"))
+    hubs = placed.groupBy("root").agg(F.max("central").alias("hub")).select("root", F.col("hub.id").alias("hub"))
+    parts = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("root"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    live = written(placed.select("key", "node").join(parts.join(hubs, "root").select("key", "hub"), "key"))
+    if not live.limit(1).count():
+        return links.roots
+    attached = live.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    remainders = written(_with_sets(attached, able, docs).mapInArrow(_remainder, _REMAINDER))
+    new = remainders.where((PER + LEAST) * F.col("common") >= LEAST * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    links.add(written(links.apart(new)))
+
+    # Of these, the nodes outside their hub's component with all that share a rare enough shingle that the hub lacks.
+    rooted = _rooted(_rooted(remainders, links.roots, "a", "a_root"), links.roots, "b", "hub_root").withColumnRenamed("b", "hub")
+    least = rooted.groupBy("hub").agg(F.min("a_n").alias("smallest"))
+    smallest = F.greatest("smallest", F.ceil(F.col("a_n") * LEAST / PER))
+    needed = F.ceil(LEAST * (F.col("a_n") + smallest) / (PER + LEAST)) - F.col("common")
+    outside = F.col("a_root") != F.col("hub_root")
+    bounded = rooted.join(least, "hub").withColumns({"needed": needed, "outside": outside})
+    # Only hubs that some node is outside of.
+    open_ = bounded.where("outside").select("hub").distinct()
+    bounded = written(bounded.join(open_, "hub", "left_semi").select("hub", "hub_root", "a", "a_root", "a_n", "needed", "outside", "rest"))
+    if not bounded.limit(1).count():
+        return links.roots
+    exploded = bounded.select("hub", "a", (F.size("rest") - F.greatest("needed", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("shingle")).where("prefix > 0")
+    often = exploded.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = exploded.join(often, ["hub", "shingle"], "left").withColumn("rank", F.row_number().over(W.partitionBy("hub", "a").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
+    chosen = ranked.where("rank <= prefix and often is not null").select("hub", "a", "shingle")
+    chosen = written(chosen.join(bounded.drop("rest"), ["hub", "a"]))
+    few = chosen.where("outside and needed > 0").select("hub", "shingle", "a", "a_root", "a_n")
+    every = chosen.select("hub", "shingle", F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("outside").alias("b_outside"), F.col("needed").alias("b_needed"))
+    sizes = F.least("a_n", "b_n") * PER >= F.greatest("a_n", "b_n") * LEAST
+    once = ~F.col("b_outside") | (F.col("b_needed") <= 0) | (F.col("a") < F.col("b"))
+    met = few.join(every, ["hub", "shingle"]).where((F.col("a_root") != F.col("b_root")) & sizes & once).select("a", "b")
+    # Nodes that the bound says nothing about meet their bucket.
+    loose = bounded.where("outside and needed <= 0").select("a", "a_root").distinct()
+    loose = loose.join(live.select("key", F.col("node").alias("a")), "a").join(_as(able, "a"), "a")
+    buckets = _rooted(live.select(F.col("key").alias("b_key"), F.col("node").alias("b")), links.roots, "b", "b_root").join(_as(able, "b"), "b")
+    wide = loose.join(buckets, (F.col("key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & _may_link("a", "b")).select("a", "b")
+    pairs = written(met.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if pairs.limit(1).count():
+        links.add(_confirmed(pairs, able, docs))
+    return links.roots
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
