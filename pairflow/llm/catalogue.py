@@ -87,3 +87,28 @@ def pipeline(spark, sf_dir):
 @_query
 def op7_sentencepiece(spark, sf_dir):
     return sentencepieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_near_duplicates"] = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s
+  from split
+), sizes as (
+  select doc_id, cast(len(s) as bigint) as n from sets
+), shingles as (
+  select doc_id, unnest(s) as x from sets
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c.n >= 85 * (x.n + y.n - c.n)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach(doc_id, other) as (
+  select doc_id, doc_id from sizes union select reach.doc_id, b from reach join both_ways on reach.other = a
+)
+select sizes.doc_id, n as n_shingles, min(other) as component_id, sizes.doc_id = min(other) as kept
+from sizes join reach on sizes.doc_id = reach.doc_id group by sizes.doc_id, n
+"""

@@ -33,7 +33,7 @@ EMBEDDED = 8
 #: The sample to learn from: about so many documents a language, so many characters of each.
 SAMPLE_DOCUMENTS = 700
 SAMPLE_CHARACTERS = 1500
-SAMPLE_LANGUAGES = 400
+SAMPLE_LANGUAGES = 100
 #: A document whose best language scores less is in none of them.
 LEAST_SCORE = 0.4
 EPOCHS = 4
