@@ -10,7 +10,7 @@ from ..errors import InvalidJob, PairflowError
 
 @dataclass(frozen=True)
 class Config:
-    """``enqueuer`` names a scheduler pool; ``show_progress`` Spark's progress bar; ``retries`` those of a task, where the cluster manager honours them."""
+    """``store`` is for the application's own objects; ``enqueuer`` names a scheduler pool; ``show_progress`` tells whether Spark's progress bar is wanted."""
 
     store: Any = None
     enqueuer: str | None = None
