@@ -8,17 +8,17 @@ most ``DISTANCE // CHUNKS`` (one) symbol: each node enumerates every chunk with
 each of its symbols left out, and such pairs are sure to meet in an equi-join.
 Whatever meets and is near enough by signature is confirmed on the full sets.
 
-No bucket's pairs are all written out. Each member first meets the bucket's
-central node, the one whose buckets have the most members; confirmed links make
-components. What is left are members in other components than most of their
-bucket. They and their bucket are compared with one hub ``r`` of that component:
-if ``a`` is not linked with ``r``, then a link of ``a`` with any ``b`` needs
+No bucket's pairs are all written out. Each member meets the bucket's hub ``r``, the
+node whose buckets have the most members; links confirmed so make components.
+What is left are members outside their hub's component. A link of such an ``a``
+with any other member ``b`` needs
 
     |a & b| >= LEAST (|a| + |b|) / (PER + LEAST),  but  |a & b & r| <= |a & r|,
 
 so that ``a`` and ``b`` must share so many shingles that ``r`` lacks as the two
-differ by. Such pairs meet on the rarest of those (a prefix filter); where the
-bound asks for none, the node meets its whole bucket. So links are lost only if
+differ by. Such pairs meet on the rarest of those (a prefix filter, for each class
+of sizes of ``b``); where the bound asks for none, the node meets its bucket's
+members of that size. So links are lost only if
 their signatures are further apart than ``DISTANCE`` (of 32 symbols 0.15 * 32 =
 4.8 differ on average at the threshold; more than 13 in about one pair of
 20,000), and copies of one text that are edited apart don't meet in pairs.
@@ -31,6 +31,7 @@ if they have no other document in their component. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ SHINGLE = 5
 SYMBOLS, CHUNKS, DISTANCE = 32, 7, 13
 #: Link if PER * intersection >= LEAST * union.
 PER, LEAST = 100, 85
+#: Sizes within this ratio are of one class, for which the bound on shared shingles is worked out.
+SIZE_CLASS = 1.02
 #: Ids of documents whose full sets are needed are broadcast up to this many; beyond, a shuffle brings the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -131,19 +134,19 @@ def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-_REMAINDER = "a binary, b binary, a_n long, b_n long, common long, rest array<long>"
+_REMAINDER = "a binary, b binary, size long, a_n long, b_n long, common long, rest array<long>"
 
 
 def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles a and b share, and those of a that b lacks."""
+    """How many shingles a and b share and, in buckets of more than two, those of a that b lacks."""
     for batch in batches:
         rows = []
-        for a, b in zip(batch["a_set"], batch["b_set"], strict=True):
+        for a, b, size in zip(batch["a_set"], batch["b_set"], batch["size"].to_pylist(), strict=True):
             x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
             both = _in(x, y)
-            rows.append((len(x), len(y), int(both.sum()), x[~both].view(np.int64)))
+            rows.append((len(x), len(y), int(both.sum()), x[~both].view(np.int64) if size > 2 else x[:0].view(np.int64)))
         sizes = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _REMAINDER.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["size"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _REMAINDER.split(", ")])
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -170,21 +173,16 @@ def _as(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their full sets, read again from the text of one document each."""
+    """The pairs (a, b, size) with their full sets, read again from the text of one document each."""
     need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     ids = need.join(nodes, "node").select("rep").distinct()
     if rows_upto(ids, BROADCAST_IDS):
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = written(texts.mapInArrow(_full_sets, "node binary, shingles binary").where("node is not null").dropDuplicates(["node"]))
-    with_a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
+    with_a = pairs.select("a", "b", "size").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return with_b.select("a", "b", "a_set", "b_set")
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on the full sets."""
-    return written(_with_sets(pairs, nodes, docs).mapInArrow(_confirm, "a binary, b binary"))
+    return with_b.select("a", "b", "size", "a_set", "b_set")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,26 +217,6 @@ def _rooted(frame: DataFrame, roots: DataFrame | None, column: str, name: str) -
     return frame.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-class _Links:
-    """Confirmed links so far, and the components that they make."""
-
-    def __init__(self):
-        self.edges: DataFrame | None = None
-        self.roots: DataFrame | None = None
-
-    def add(self, edges: DataFrame) -> None:
-        if edges.limit(1).count():
-            self.edges = edges if self.edges is None else self.edges.union(edges)
-            self.roots = components(self.edges)
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that are in different components."""
-        if self.roots is None:
-            return pairs
-        both = _rooted(_rooted(pairs, self.roots, "a", "a_root"), self.roots, "b", "b_root")
-        return written(both.where("a_root <> b_root").drop("a_root", "b_root"))
-
-
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, root) of all nodes with a link; None if there is no link."""
     # Sets this small are only linked if they are equal.
@@ -247,61 +225,48 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
     members = written(keys.join(shared, "key").select("key", "node", "size"))
     central = members.groupBy("node").agg(F.struct(F.sum("size").alias("weight"), F.col("node").alias("id")).alias("central"))
-    members = written(members.drop("size").join(central, "node"))
-    leaders = members.groupBy("key").agg(F.max("central").alias("leader"))
-    star = members.join(leaders, "key").where("node <> leader.id").select(F.col("node").alias("a"), F.col("leader.id").alias("b"), F.col("leader.weight").alias("weight")).distinct()
-    star = written(star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b")).select("a", "b", "weight"))
-    links = _Links()
-
-    # Each node with the most central of all its buckets, then with the others' that are still in another component.
-    links.add(_confirmed(star.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")), able, docs))
-    rest = links.apart(star.select("a", "b"))
-    if rest.limit(1).count():
-        links.add(_confirmed(rest, able, docs))
-
-    # Buckets that still have several components: all their members with the most central node of the largest.
-    placed = written(_rooted(members, links.roots, "node", "root"))
-    hubs = placed.groupBy("root").agg(F.max("central").alias("hub")).select("root", F.col("hub.id").alias("hub"))
-    parts = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("root"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    live = written(placed.select("key", "node").join(parts.join(hubs, "root").select("key", "hub"), "key"))
-    if not live.limit(1).count():
-        return links.roots
-    attached = live.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    remainders = written(_with_sets(attached, able, docs).mapInArrow(_remainder, _REMAINDER))
-    new = remainders.where((PER + LEAST) * F.col("common") >= LEAST * (F.col("a_n") + F.col("b_n"))).select("a", "b")
-    links.add(written(links.apart(new)))
-
-    # Of these, the nodes outside their hub's component with all that share a rare enough shingle that the hub lacks.
-    rooted = _rooted(_rooted(remainders, links.roots, "a", "a_root"), links.roots, "b", "hub_root").withColumnRenamed("b", "hub")
-    least = rooted.groupBy("hub").agg(F.min("a_n").alias("smallest"))
-    smallest = F.greatest("smallest", F.ceil(F.col("a_n") * LEAST / PER))
-    needed = F.ceil(LEAST * (F.col("a_n") + smallest) / (PER + LEAST)) - F.col("common")
-    outside = F.col("a_root") != F.col("hub_root")
-    bounded = rooted.join(least, "hub").withColumns({"needed": needed, "outside": outside})
+    leaders = members.join(central, "node").groupBy("key").agg(F.max("central").alias("hub")).select("key", F.col("hub.id").alias("hub"))
+    live = members.join(leaders, "key").where("node <> hub")
+
+    # Each node with its buckets' hubs. A bucket of two has no other pair, so that a hub of only such buckets must be near by signature.
+    star = live.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
+    star = star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where((F.col("size") > 2) | _may_link("a", "b")).select("a", "b", "size")
+    remainders = written(_with_sets(written(star), able, docs).mapInArrow(_remainder, _REMAINDER))
+    edges = remainders.where((PER + LEAST) * F.col("common") >= LEAST * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    roots = components(edges) if edges.limit(1).count() else None
+
+    # Nodes outside their hub's component with all that share a rare enough shingle that the hub lacks.
+    rooted = _rooted(_rooted(remainders.where("size > 2"), roots, "a", "a_root"), roots, "b", "hub_root").withColumnRenamed("b", "hub")
+    rooted = rooted.withColumns({"outside": F.col("a_root") != F.col("hub_root"), "class": F.floor(F.log("a_n") / math.log(SIZE_CLASS)).cast("int")})
     # Only hubs that some node is outside of.
-    open_ = bounded.where("outside").select("hub").distinct()
-    bounded = written(bounded.join(open_, "hub", "left_semi").select("hub", "hub_root", "a", "a_root", "a_n", "needed", "outside", "rest"))
-    if not bounded.limit(1).count():
-        return links.roots
-    exploded = bounded.select("hub", "a", (F.size("rest") - F.greatest("needed", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("shingle")).where("prefix > 0")
+    open_ = rooted.where("outside").select("hub").distinct()
+    nodes_of = written(rooted.join(open_, "hub", "left_semi").select("hub", "a", "a_root", "a_n", "class", "common", "outside", "rest"))
+    if not nodes_of.limit(1).count():
+        return roots
+    # How many of a's shingles that the hub lacks a partner of at least some size must have.
+    must = lambda size: F.ceil(LEAST * (F.col("a_n") + size) / (PER + LEAST)) - F.col("common")
+    classes = nodes_of.groupBy("hub", "class").agg(F.min("a_n").alias("low"), F.max("a_n").alias("high"))
+    probes = nodes_of.where("outside").join(classes.withColumnRenamed("class", "b_class"), "hub").where((F.col("high") * PER >= F.col("a_n") * LEAST) & (F.col("low") * LEAST <= F.col("a_n") * PER))
+    probes = written(probes.withColumn("must", must(F.col("low"))).select("hub", "a", "b_class", "must", (F.size("rest") - F.col("must") + 1).alias("prefix")))
+    own = nodes_of.withColumn("prefix", F.size("rest") - F.greatest(must(F.ceil(F.col("a_n") * LEAST / PER)), F.lit(1)) + 1)
+    exploded = own.where("prefix > 0").select("hub", "a", "prefix", F.explode("rest").alias("shingle"))
     often = exploded.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = exploded.join(often, ["hub", "shingle"], "left").withColumn("rank", F.row_number().over(W.partitionBy("hub", "a").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
-    chosen = ranked.where("rank <= prefix and often is not null").select("hub", "a", "shingle")
-    chosen = written(chosen.join(bounded.drop("rest"), ["hub", "a"]))
-    few = chosen.where("outside and needed > 0").select("hub", "shingle", "a", "a_root", "a_n")
-    every = chosen.select("hub", "shingle", F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("outside").alias("b_outside"), F.col("needed").alias("b_needed"))
+    chosen = written(ranked.where("rank <= prefix and often is not null").drop("prefix", "often").join(nodes_of.drop("rest", "common"), ["hub", "a"]))
+    few = chosen.where("outside").join(probes.where("must > 0"), ["hub", "a"]).where("rank <= prefix").select("hub", "b_class", "shingle", "a", "a_root", "a_n")
+    every = chosen.select("hub", F.col("class").alias("b_class"), "shingle", F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("outside").alias("b_outside"))
     sizes = F.least("a_n", "b_n") * PER >= F.greatest("a_n", "b_n") * LEAST
-    once = ~F.col("b_outside") | (F.col("b_needed") <= 0) | (F.col("a") < F.col("b"))
-    met = few.join(every, ["hub", "shingle"]).where((F.col("a_root") != F.col("b_root")) & sizes & once).select("a", "b")
-    # Nodes that the bound says nothing about meet their bucket.
-    loose = bounded.where("outside and needed <= 0").select("a", "a_root").distinct()
-    loose = loose.join(live.select("key", F.col("node").alias("a")), "a").join(_as(able, "a"), "a")
-    buckets = _rooted(live.select(F.col("key").alias("b_key"), F.col("node").alias("b")), links.roots, "b", "b_root").join(_as(able, "b"), "b")
-    wide = loose.join(buckets, (F.col("key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & _may_link("a", "b")).select("a", "b")
+    met = few.join(every, ["hub", "b_class", "shingle"]).where((F.col("a_root") != F.col("b_root")) & sizes & (~F.col("b_outside") | (F.col("a") < F.col("b")))).select("a", "b")
+    # Where the bound asks for none, the node meets the members of its buckets that have such a size.
+    placed = live.select("key", "hub", F.col("node").alias("a")).join(nodes_of.select("hub", "a", "a_root", "class"), ["hub", "a"]).join(_as(able, "a"), "a")
+    loose = placed.join(probes.where("must <= 0").select("hub", "a", "b_class"), ["hub", "a"]).select("key", "hub", "b_class", "a", "a_root", "a_n", "a_s")
+    others = placed.select(F.col("key"), F.col("hub"), F.col("class").alias("b_class"), F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("a_s").alias("b_s"))
+    wide = loose.join(others, ["key", "hub", "b_class"]).where((F.col("a_root") != F.col("b_root")) & _may_link("a", "b")).select("a", "b")
     pairs = written(met.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if pairs.limit(1).count():
-        links.add(_confirmed(pairs, able, docs))
-    return links.roots
+    if not pairs.limit(1).count():
+        return roots
+    more = written(_with_sets(pairs.withColumn("size", F.lit(2).cast("bigint")), able, docs).mapInArrow(_confirm, "a binary, b binary"))
+    return components(edges.union(more)) if more.limit(1).count() else roots
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -271,12 +271,16 @@ def _model(path: str | None) -> Model:
     return Model(path)
 
 
+def _paths(docs: DataFrame, model: Model, fold: str, block_words: int) -> DataFrame:
+    """Blocks of documents, each followed by its words' ids."""
+    words = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_words(block_words), _WORDS)
+    return folded(edges_of(words, model.table(docs.sparkSession), model.longest).mapInArrow(_grouped, _LATTICE), fold)
+
+
 def encoded(docs: DataFrame, path: str | None = None, fold: str = "merges", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id and ids of every document."""
-    model, spark = _model(path), docs.sparkSession
-    words = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_words(block_words), _WORDS)
-    lattice = edges_of(words, model.table(spark), model.longest).mapInArrow(_grouped, _LATTICE)
-    return folded(lattice, fold).mapInArrow(_documents(spark.sparkContext.broadcast(model)), "doc_id long, ids array<int>")
+    model = _model(path)
+    return _paths(docs, model, fold, block_words).mapInArrow(_documents(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, ids array<int>")
 
 
 def _decode(model):
@@ -309,6 +313,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def piece_digests(docs: DataFrame) -> DataFrame:
-    """Of every document: how many pieces it has, the checksum of their ids, and length and digest of the text decoded from them."""
-    return decoded(encoded(docs)).mapInArrow(_digest, _DIGEST)
+def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Of every document: how many pieces it has, the checksum of their ids, and length and digest of the text decoded from them.
+
+    Encoding's last step, decoding and the digest run in one Python task.
+    """
+    model = _model(path)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    ids, texts = _documents(shared), _decode(shared)
+    return _paths(docs, model, "merges", BLOCK_WORDS).mapInArrow(lambda batches: _digest(texts(ids(batches))), _DIGEST)
