@@ -48,6 +48,8 @@ SYMBOLS, CHUNKS, DISTANCE = 32, 7, 13
 PER, LEAST = 100, 85
 #: Sizes within this ratio are of one class, for which the bound on shared shingles is worked out.
 SIZE_CLASS = 1.02
+#: As many links (some 30 bytes each) are joined up into components in one task.
+ONE_TASK = 200_000
 #: Ids of documents whose full sets are needed are broadcast up to this many; beyond, a shuffle brings the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -185,15 +187,39 @@ def _with_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     return with_b.select("a", "b", "size", "a_set", "b_set")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): the smallest node reachable.
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every edge's nodes with the smallest node that they reach, from all edges."""
+    above: dict[bytes, bytes] = {}
 
-    Alternates two contractions until nothing changes: every node's larger
+    def top(x: bytes) -> bytes:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["root"].to_pylist(), batch["node"].to_pylist(), strict=True):
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    rows = [(top(x), x) for x in above]
+    rows = [r for r in rows if r[0] != r[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], names=["root", "node"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(root, node) of every node of the edges (a, b) but the roots: the smallest node reachable.
+
+    Up to ``one_task`` edges are joined up in one task. More of them are
+    contracted in two alternating ways until nothing changes: every node's larger
     neighbours move to its smallest one, then its smaller neighbours do. The
     number of rounds grows with the logarithm of the longest path; each round is
     a table in the shared folder.
     """
     edges = written(edges.select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")).where("root <> node").distinct())
+    if edges.count() <= one_task:
+        return written(edges.repartition(1).mapInArrow(_union_find, "root binary, node binary"))
     state = None
     while True:
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("root", "node") % 1_000_000_007)).first()
@@ -262,6 +288,7 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     loose = placed.join(probes.where("must <= 0").select("hub", "a", "b_class"), ["hub", "a"]).select("key", "hub", "b_class", "a", "a_root", "a_n", "a_s")
     others = placed.select(F.col("key"), F.col("hub"), F.col("class").alias("b_class"), F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("a_s").alias("b_s"))
     wide = loose.join(others, ["key", "hub", "b_class"]).where((F.col("a_root") != F.col("b_root")) & _may_link("a", "b")).select("a", "b")
+    met = met.distinct().join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b")).select("a", "b")
     pairs = written(met.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not pairs.limit(1).count():
         return roots
