@@ -8,9 +8,10 @@ most ``DISTANCE // CHUNKS`` (one) symbol: each node enumerates every chunk with
 each of its symbols left out, and such pairs are sure to meet in an equi-join.
 Whatever meets and is near enough by signature is confirmed on the full sets.
 
-No bucket's pairs are all written out. Each member meets the bucket's hub ``r``, the
-node whose buckets have the most members; links confirmed so make components.
-What is left are members outside their hub's component. A link of such an ``a``
+No bucket's pairs are all written out. Each member meets its bucket's most central
+node, the one whose buckets have the most members; links confirmed so make
+components. A bucket that is left with several meets the hub ``r``, the most central
+node of its largest component. A link of a member ``a`` outside the hub's component
 with any other member ``b`` needs
 
     |a & b| >= LEAST (|a| + |b|) / (PER + LEAST),  but  |a & b & r| <= |a & r|,
@@ -18,10 +19,10 @@ with any other member ``b`` needs
 so that ``a`` and ``b`` must share so many shingles that ``r`` lacks as the two
 differ by. Such pairs meet on the rarest of those (a prefix filter, for each class
 of sizes of ``b``); where the bound asks for none, the node meets its bucket's
-members of that size. So links are lost only if
-their signatures are further apart than ``DISTANCE`` (of 32 symbols 0.15 * 32 =
-4.8 differ on average at the threshold; more than 13 in about one pair of
-20,000), and copies of one text that are edited apart don't meet in pairs.
+members of that size. So copies of one text that are edited apart don't meet in
+pairs, and links are lost only if their signatures are further apart than
+``DISTANCE`` (of 32 symbols 0.15 * 32 = 4.8 differ on average at the threshold;
+more than 13 in about one pair of 20,000).
 
 Documents without words, and null texts, have no set and are their own
 component. Fewer than five words are one shingle. Repeated rows are copies. A
@@ -136,19 +137,19 @@ def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-_REMAINDER = "a binary, b binary, size long, a_n long, b_n long, common long, rest array<long>"
+_REMAINDER = "a binary, b binary, a_n long, b_n long, common long, rest array<long>"
 
 
 def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles a and b share and, in buckets of more than two, those of a that b lacks."""
+    """How many shingles a and b share, and those of a that b lacks."""
     for batch in batches:
         rows = []
-        for a, b, size in zip(batch["a_set"], batch["b_set"], batch["size"].to_pylist(), strict=True):
+        for a, b in zip(batch["a_set"], batch["b_set"], strict=True):
             x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
             both = _in(x, y)
-            rows.append((len(x), len(y), int(both.sum()), x[~both].view(np.int64) if size > 2 else x[:0].view(np.int64)))
+            rows.append((len(x), len(y), int(both.sum()), x[~both].view(np.int64)))
         sizes = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["size"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _REMAINDER.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _REMAINDER.split(", ")])
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -175,16 +176,16 @@ def _as(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b, size) with their full sets, read again from the text of one document each."""
+    """The pairs (a, b) with their full sets, read again from the text of one document each."""
     need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     ids = need.join(nodes, "node").select("rep").distinct()
     if rows_upto(ids, BROADCAST_IDS):
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = written(texts.mapInArrow(_full_sets, "node binary, shingles binary").where("node is not null").dropDuplicates(["node"]))
-    with_a = pairs.select("a", "b", "size").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
+    with_a = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return with_b.select("a", "b", "size", "a_set", "b_set")
+    return with_b.select("a", "b", "a_set", "b_set")
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,18 +252,27 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
     members = written(keys.join(shared, "key").select("key", "node", "size"))
     central = members.groupBy("node").agg(F.struct(F.sum("size").alias("weight"), F.col("node").alias("id")).alias("central"))
-    leaders = members.join(central, "node").groupBy("key").agg(F.max("central").alias("hub")).select("key", F.col("hub.id").alias("hub"))
-    live = members.join(leaders, "key").where("node <> hub")
-
-    # Each node with its buckets' hubs. A bucket of two has no other pair, so that a hub of only such buckets must be near by signature.
-    star = live.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("size").alias("size"))
-    star = star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where((F.col("size") > 2) | _may_link("a", "b")).select("a", "b", "size")
-    remainders = written(_with_sets(written(star), able, docs).mapInArrow(_remainder, _REMAINDER))
-    edges = remainders.where((PER + LEAST) * F.col("common") >= LEAST * (F.col("a_n") + F.col("b_n"))).select("a", "b")
-    roots = components(edges) if edges.limit(1).count() else None
+    members = written(members.join(central, "node"))
+    leaders = members.groupBy("key").agg(F.max("central").alias("leader")).select("key", F.col("leader.id").alias("leader"))
+
+    # Each node with the most central one of each of its buckets.
+    star = members.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    star = written(star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b")).select("a", "b"))
+    edges = written(_with_sets(star, able, docs).mapInArrow(_confirm, "a binary, b binary"))
+    roots = components(edges)
+
+    # Larger buckets with several components: all members with the hub, the most central node of the largest of them.
+    placed = written(_rooted(members, roots, "node", "root"))
+    hubs = placed.groupBy("root").agg(F.max("central").alias("hub")).select("root", F.col("hub.id").alias("hub"))
+    parts = placed.where("size > 2").groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("root"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    live = written(placed.select("key", "node").join(parts.join(hubs, "root").select("key", "hub"), "key").where("node <> hub"))
+    attached = live.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    remainders = written(_with_sets(written(attached), able, docs).mapInArrow(_remainder, _REMAINDER))
+    edges = edges.union(remainders.where((PER + LEAST) * F.col("common") >= LEAST * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+    roots = components(edges)
 
     # Nodes outside their hub's component with all that share a rare enough shingle that the hub lacks.
-    rooted = _rooted(_rooted(remainders.where("size > 2"), roots, "a", "a_root"), roots, "b", "hub_root").withColumnRenamed("b", "hub")
+    rooted = _rooted(_rooted(remainders, roots, "a", "a_root"), roots, "b", "hub_root").withColumnRenamed("b", "hub")
     rooted = rooted.withColumns({"outside": F.col("a_root") != F.col("hub_root"), "class": F.floor(F.log("a_n") / math.log(SIZE_CLASS)).cast("int")})
     # Only hubs that some node is outside of.
     open_ = rooted.where("outside").select("hub").distinct()
@@ -284,7 +294,7 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     sizes = F.least("a_n", "b_n") * PER >= F.greatest("a_n", "b_n") * LEAST
     met = few.join(every, ["hub", "b_class", "shingle"]).where((F.col("a_root") != F.col("b_root")) & sizes & (~F.col("b_outside") | (F.col("a") < F.col("b")))).select("a", "b")
     # Where the bound asks for none, the node meets the members of its buckets that have such a size.
-    placed = live.select("key", "hub", F.col("node").alias("a")).join(nodes_of.select("hub", "a", "a_root", "class"), ["hub", "a"]).join(_as(able, "a"), "a")
+    placed = live.withColumnRenamed("node", "a").join(nodes_of.select("hub", "a", "a_root", "class"), ["hub", "a"]).join(_as(able, "a"), "a")
     loose = placed.join(probes.where("must <= 0").select("hub", "a", "b_class"), ["hub", "a"]).select("key", "hub", "b_class", "a", "a_root", "a_n", "a_s")
     others = placed.select(F.col("key"), F.col("hub"), F.col("class").alias("b_class"), F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("a_s").alias("b_s"))
     wide = loose.join(others, ["key", "hub", "b_class"]).where((F.col("a_root") != F.col("b_root")) & _may_link("a", "b")).select("a", "b")
@@ -292,8 +302,7 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     pairs = written(met.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not pairs.limit(1).count():
         return roots
-    more = written(_with_sets(pairs.withColumn("size", F.lit(2).cast("bigint")), able, docs).mapInArrow(_confirm, "a binary, b binary"))
-    return components(edges.union(more)) if more.limit(1).count() else roots
+    return components(edges.union(_with_sets(pairs, able, docs).mapInArrow(_confirm, "a binary, b binary")))
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
