@@ -25,8 +25,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dups.deduplicated(docs)
+    """One document of each group of near duplicates, linked from a similarity of 0.8."""
+    return near_dups.deduplicated(docs, near_dups.STAGE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Near-duplicate documents by a multi-index Hamming join over MinHash signatures.
 
 A document is the set of its distinct shingles of five words. Equal sets are one
-node. A node's signature has ``SYMBOLS`` symbols of 16 bits, one per MinHash.
-Signatures are split into ``CHUNKS`` chunks. If two differ in at most
-``DISTANCE`` symbols, then by the pigeonhole principle some chunk differs in at
-most ``DISTANCE // CHUNKS`` (one) symbol: each node enumerates every chunk with
+node. A node's signature has ``symbols`` symbols of 16 bits, one per MinHash.
+Signatures are split into ``chunks`` chunks. If two differ in at most
+``distance`` symbols, then by the pigeonhole principle some chunk differs in at
+most ``distance // chunks`` (one) symbol: each node enumerates every chunk with
 each of its symbols left out, and such pairs are sure to meet in an equi-join.
 Whatever meets and is near enough by signature is confirmed on the full sets.
+From which similarity two documents link is a parameter (``Contract``): 0.85 for
+the op2 query (``QUERY``), 0.8 for the pipeline's stage (``STAGE``).
 
 No bucket's pairs are all written out. Each member meets its bucket's most central
 node, the one whose buckets have the most members; links confirmed so make
@@ -14,15 +16,16 @@ components. A bucket that is left with several meets the hub ``r``, the most cen
 node of its largest component. A link of a member ``a`` outside the hub's component
 with any other member ``b`` needs
 
-    |a & b| >= LEAST (|a| + |b|) / (PER + LEAST),  but  |a & b & r| <= |a & r|,
+    |a & b| >= least (|a| + |b|) / (PER + least),  but  |a & b & r| <= |a & r|,
 
 so that ``a`` and ``b`` must share so many shingles that ``r`` lacks as the two
 differ by. Such pairs meet on the rarest of those (a prefix filter, for each class
 of sizes of ``b``); where the bound asks for none, the node meets its bucket's
 members of that size. So copies of one text that are edited apart don't meet in
 pairs, and links are lost only if their signatures are further apart than
-``DISTANCE`` (of 32 symbols 0.15 * 32 = 4.8 differ on average at the threshold;
-more than 13 in about one pair of 20,000).
+``distance`` (``QUERY``: of 32 symbols 0.15 * 32 = 4.8 differ on average at the
+threshold; more than 13 in about one pair of 20,000. ``STAGE``: of 64 symbols
+0.2 * 64 = 12.8; more than 31 in one pair of 12 million).
 
 Documents without words, and null texts, have no set and are their own
 component. Fewer than five words are one shingle. Repeated rows are copies. A
@@ -33,7 +36,8 @@ if they have no other document in their component. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,20 @@ SHINGLE = 5
 SYMBOLS, CHUNKS, DISTANCE = 32, 7, 13
 #: Link if PER * intersection >= LEAST * union.
 PER, LEAST = 100, 85
+
+
+class Contract(NamedTuple):
+    """Two documents link if PER * intersection >= least * union; the signatures that find them."""
+
+    least: int = LEAST
+    symbols: int = SYMBOLS
+    chunks: int = CHUNKS
+    distance: int = DISTANCE
+
+
+QUERY = Contract()
+#: The pipeline's stage.
+STAGE = Contract(80, 64, 16, 31)
 #: Sizes within this ratio are of one class, for which the bound on shared shingles is worked out.
 SIZE_CLASS = 1.02
 #: As many links (some 30 bytes each) are joined up into components in one task.
@@ -56,8 +74,8 @@ BROADCAST_IDS = 1_000_000
 
 _TERM = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _rng = np.random.default_rng(20)
-_XOR = _rng.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
-_TIMES = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * U64(2) + U64(1)
+_XOR = _rng.integers(0, 2**64, STAGE.symbols, dtype=np.uint64)
+_TIMES = _rng.integers(0, 2**63, STAGE.symbols, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -88,28 +106,31 @@ def node_of(shingles: np.ndarray) -> bytes | None:
     return b"".join(mix(shingles ^ salt).sum(dtype=U64).tobytes() for salt in (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)))
 
 
-def signatures_of(sets: list[np.ndarray]) -> np.ndarray:
+def signatures_of(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
     """A row of 16-bit symbols for each (non-empty) set."""
     every = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.stack([np.minimum.reduceat((every ^ x) * t, starts) for x, t in zip(_XOR, _TIMES, strict=True)], axis=1)
+    least = np.stack([np.minimum.reduceat((every ^ x) * t, starts) for x, t in zip(_XOR[:symbols], _TIMES[:symbols], strict=True)], axis=1)
     return (mix(least) >> U64(48)).astype(np.uint16).view(np.int16)
 
 
 _SIGNED = "doc_id long, tie long, n_shingles long, node binary, signature array<short>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s in together(batch["text"]):
-            part = batch.slice(s.start, s.stop - s.start)
-            sets = shingle_sets(part["text"].to_pylist())
-            full = [x for x in sets if len(x)]
-            rows = iter(signatures_of(full).tolist() if full else [])
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["tie"], pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.binary()), pa.array([next(rows) if len(x) else None for x in sets], pa.list_(pa.int16()))],
-                names=["doc_id", "tie", "n_shingles", "node", "signature"],
-            )
+def _sign(symbols: int) -> Callable:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in together(batch["text"]):
+                part = batch.slice(s.start, s.stop - s.start)
+                sets = shingle_sets(part["text"].to_pylist())
+                full = [x for x in sets if len(x)]
+                rows = iter(signatures_of(full, symbols).tolist() if full else [])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["tie"], pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.binary()), pa.array([next(rows) if len(x) else None for x in sets], pa.list_(pa.int16()))],
+                    names=["doc_id", "tie", "n_shingles", "node", "signature"],
+                )
+
+    return sign
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,17 +140,21 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(least: int) -> Callable:
     """Those pairs whose full sets are alike enough."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch["a_set"], batch["b_set"], strict=True):
-            x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
-            if len(x) > len(y):
-                x, y = y, x
-            common = int(_in(x, y).sum())
-            keep.append(PER * common >= LEAST * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch["a_set"], batch["b_set"], strict=True):
+                x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
+                if len(x) > len(y):
+                    x, y = y, x
+                common = int(_in(x, y).sum())
+                keep.append(PER * common >= least * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    return confirm
 
 
 def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -152,23 +177,23 @@ def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _REMAINDER.split(", ")])
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, contract: Contract = QUERY) -> DataFrame:
     """(key, node): each chunk of the signature without each of its symbols in turn."""
-    edges = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
+    edges = [contract.symbols * i // contract.chunks for i in range(contract.chunks + 1)]
     symbol = F.col("signature")
     keys = [
-        F.xxhash64(F.lit(chunk * SYMBOLS + left_out), *[symbol[i] for i in range(lo, hi) if i != left_out])
+        F.xxhash64(F.lit(chunk * contract.symbols + left_out), *[symbol[i] for i in range(lo, hi) if i != left_out])
         for chunk, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
         for left_out in range(lo, hi)
     ]
     return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def _may_link(a: str, b: str):
+def _may_link(a: str, b: str, contract: Contract):
     """Sizes and signatures that allow a link: in SQL over columns n_a, s_a, n_b, s_b."""
-    sizes = (F.least(a + "_n", b + "_n") * PER >= F.greatest(a + "_n", b + "_n") * LEAST)
+    sizes = (F.least(a + "_n", b + "_n") * PER >= F.greatest(a + "_n", b + "_n") * contract.least)
     unequal = F.aggregate(F.zip_with(a + "_s", b + "_s", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
-    return sizes & (unequal <= DISTANCE)
+    return sizes & (unequal <= contract.distance)
 
 
 def _as(nodes: DataFrame, name: str) -> DataFrame:
@@ -244,11 +269,12 @@ def _rooted(frame: DataFrame, roots: DataFrame | None, column: str, name: str) -
     return frame.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def _links(nodes: DataFrame, docs: DataFrame, contract: Contract) -> DataFrame | None:
     """(node, root) of all nodes with a link; None if there is no link."""
+    least = contract.least
     # Sets this small are only linked if they are equal.
-    able = nodes.where((F.col("n") + 1) * LEAST <= F.col("n") * PER)
-    keys = _keys(able)
+    able = nodes.where((F.col("n") + 1) * least <= F.col("n") * PER)
+    keys = _keys(able, contract)
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
     members = written(keys.join(shared, "key").select("key", "node", "size"))
     central = members.groupBy("node").agg(F.struct(F.sum("size").alias("weight"), F.col("node").alias("id")).alias("central"))
@@ -257,8 +283,8 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
 
     # Each node with the most central one of each of its buckets.
     star = members.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    star = written(star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b")).select("a", "b"))
-    edges = written(_with_sets(star, able, docs).mapInArrow(_confirm, "a binary, b binary"))
+    star = written(star.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b", contract)).select("a", "b"))
+    edges = written(_with_sets(star, able, docs).mapInArrow(_confirm(least), "a binary, b binary"))
     roots = components(edges)
 
     # Larger buckets with several components: all members with the hub, the most central node of the largest of them.
@@ -268,7 +294,7 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     live = written(placed.select("key", "node").join(parts.join(hubs, "root").select("key", "hub"), "key").where("node <> hub"))
     attached = live.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     remainders = written(_with_sets(written(attached), able, docs).mapInArrow(_remainder, _REMAINDER))
-    edges = edges.union(remainders.where((PER + LEAST) * F.col("common") >= LEAST * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+    edges = edges.union(remainders.where((PER + least) * F.col("common") >= least * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
     roots = components(edges)
 
     # Nodes outside their hub's component with all that share a rare enough shingle that the hub lacks.
@@ -280,37 +306,37 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     if not nodes_of.limit(1).count():
         return roots
     # How many of a's shingles that the hub lacks a partner of at least some size must have.
-    must = lambda size: F.ceil(LEAST * (F.col("a_n") + size) / (PER + LEAST)) - F.col("common")
+    must = lambda size: F.ceil(least * (F.col("a_n") + size) / (PER + least)) - F.col("common")
     classes = nodes_of.groupBy("hub", "class").agg(F.min("a_n").alias("low"), F.max("a_n").alias("high"))
-    probes = nodes_of.where("outside").join(classes.withColumnRenamed("class", "b_class"), "hub").where((F.col("high") * PER >= F.col("a_n") * LEAST) & (F.col("low") * LEAST <= F.col("a_n") * PER))
+    probes = nodes_of.where("outside").join(classes.withColumnRenamed("class", "b_class"), "hub").where((F.col("high") * PER >= F.col("a_n") * least) & (F.col("low") * least <= F.col("a_n") * PER))
     probes = written(probes.withColumn("must", must(F.col("low"))).select("hub", "a", "b_class", "must", (F.size("rest") - F.col("must") + 1).alias("prefix")))
-    own = nodes_of.withColumn("prefix", F.size("rest") - F.greatest(must(F.ceil(F.col("a_n") * LEAST / PER)), F.lit(1)) + 1)
+    own = nodes_of.withColumn("prefix", F.size("rest") - F.greatest(must(F.ceil(F.col("a_n") * least / PER)), F.lit(1)) + 1)
     exploded = own.where("prefix > 0").select("hub", "a", "prefix", F.explode("rest").alias("shingle"))
     often = exploded.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = exploded.join(often, ["hub", "shingle"], "left").withColumn("rank", F.row_number().over(W.partitionBy("hub", "a").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
     chosen = written(ranked.where("rank <= prefix and often is not null").drop("prefix", "often").join(nodes_of.drop("rest", "common"), ["hub", "a"]))
     few = chosen.where("outside").join(probes.where("must > 0"), ["hub", "a"]).where("rank <= prefix").select("hub", "b_class", "shingle", "a", "a_root", "a_n")
     every = chosen.select("hub", F.col("class").alias("b_class"), "shingle", F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("outside").alias("b_outside"))
-    sizes = F.least("a_n", "b_n") * PER >= F.greatest("a_n", "b_n") * LEAST
+    sizes = F.least("a_n", "b_n") * PER >= F.greatest("a_n", "b_n") * least
     met = few.join(every, ["hub", "b_class", "shingle"]).where((F.col("a_root") != F.col("b_root")) & sizes & (~F.col("b_outside") | (F.col("a") < F.col("b")))).select("a", "b")
     # Where the bound asks for none, the node meets the members of its buckets that have such a size.
     placed = live.withColumnRenamed("node", "a").join(nodes_of.select("hub", "a", "a_root", "class"), ["hub", "a"]).join(_as(able, "a"), "a")
     loose = placed.join(probes.where("must <= 0").select("hub", "a", "b_class"), ["hub", "a"]).select("key", "hub", "b_class", "a", "a_root", "a_n", "a_s")
     others = placed.select(F.col("key"), F.col("hub"), F.col("class").alias("b_class"), F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("a_s").alias("b_s"))
-    wide = loose.join(others, ["key", "hub", "b_class"]).where((F.col("a_root") != F.col("b_root")) & _may_link("a", "b")).select("a", "b")
-    met = met.distinct().join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b")).select("a", "b")
+    wide = loose.join(others, ["key", "hub", "b_class"]).where((F.col("a_root") != F.col("b_root")) & _may_link("a", "b", contract)).select("a", "b")
+    met = met.distinct().join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b", contract)).select("a", "b")
     pairs = written(met.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not pairs.limit(1).count():
         return roots
-    return components(edges.union(_with_sets(pairs, able, docs).mapInArrow(_confirm, "a binary, b binary")))
+    return components(edges.union(_with_sets(pairs, able, docs).mapInArrow(_confirm(least), "a binary, b binary")))
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """Every row's (doc_id, tie, n_shingles, node), a tie being the text's hash, and every node's (node, root, rep): its component's smallest node and smallest id."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    signed = written(docs.mapInArrow(_sign, _SIGNED))
+    signed = written(docs.mapInArrow(_sign(contract.symbols), _SIGNED))
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    roots = _links(nodes, docs)
+    roots = _links(nodes, docs, contract)
     rooted = _rooted(nodes.select("node", "rep"), roots, "node", "root")
     if roots is not None:
         rooted = written(rooted)
@@ -318,20 +344,20 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed.drop("signature"), rooted.select("node", "root", "rep")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, contract: Contract = QUERY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    signed, rooted = _grouped(docs)
+    signed, rooted = _grouped(docs, contract)
     found = signed.where("node is not null").join(rooted, "node").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     alone = signed.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, contract: Contract = QUERY) -> DataFrame:
     """The table with one document of each component: that with the smallest id (nulls last), then the smallest hash of its text.
 
     All columns stay as they are. Documents without words are all kept.
     """
-    signed, rooted = _grouped(docs)
+    signed, rooted = _grouped(docs, contract)
     placed = written(signed.where("node is not null").join(rooted, "node").select("doc_id", "tie", "root"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "tie")
     first = placed.groupBy("root").agg(F.min(place).alias("first"))

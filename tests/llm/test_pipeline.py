@@ -71,3 +71,20 @@ def test_entry_without_the_operators(monkeypatch, gone):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == gone else real(name, *a))
     assert "wordcount" in __spark_entry__.queries() and not any(n.startswith("op") for n in __spark_entry__.queries())
+
+
+def test_near_duplicate_stage_links_from_four_fifths(spark):
+    """Against brute force at 0.8: pairs of every likeness from 0.70 to 0.95, a third of them in [0.80, 0.85)."""
+    sets, rows = {}, []
+    for i in range(240):
+        n = 40 + i % 97
+        changed = n - round(n * 2 * (0.70 + 0.25 * (i % 24) / 23) / (1.70 + 0.25 * (i % 24) / 23))
+        for k in (0, 1):
+            words = [f"w{i}x{j}{'y' * k if j >= n + 4 - changed else ''}" for j in range(n + 4)]
+            sets[2 * i + k] = {tuple(words[j : j + 5]) for j in range(n)}
+            rows.append((2 * i + k, " ".join(words)))
+    alike = [len(sets[a] & sets[a + 1]) / len(sets[a] | sets[a + 1]) for a in range(0, 480, 2)]
+    assert sum(0.8 <= x < 0.85 for x in alike) >= 30 and sum(x < 0.8 for x in alike) >= 30
+    gone = {a + 1 for a in range(0, 480, 2) if 100 * len(sets[a] & sets[a + 1]) >= 80 * len(sets[a] | sets[a + 1])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.keep_first_copies(spark, docs, None).collect()} == set(sets) - gone
