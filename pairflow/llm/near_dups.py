@@ -23,9 +23,9 @@ differ by. Such pairs meet on the rarest of those (a prefix filter, for each cla
 of sizes of ``b``); where the bound asks for none, the node meets its bucket's
 members of that size. So copies of one text that are edited apart don't meet in
 pairs, and links are lost only if their signatures are further apart than
-``distance`` (``QUERY``: of 32 symbols 0.15 * 32 = 4.8 differ on average at the
-threshold; more than 13 in about one pair of 20,000. ``STAGE``: of 64 symbols
-0.2 * 64 = 12.8; more than 31 in one pair of 12 million).
+``distance`` (``QUERY``: of 64 symbols 0.15 * 64 = 9.6 differ on average at the
+threshold; more than 27 in about one pair of 29 million. ``STAGE``: 0.2 * 64 = 12.8;
+more than 31 in one pair of 12 million).
 
 Documents without words, and null texts, have no set and are their own
 component. Fewer than five words are one shingle. Repeated rows are copies. A
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix, rows_upto, together, word_hashes, written
 
 SHINGLE = 5
-SYMBOLS, CHUNKS, DISTANCE = 32, 7, 13
+SYMBOLS, CHUNKS, DISTANCE = 64, 14, 27
 #: Link if PER * intersection >= LEAST * union.
 PER, LEAST = 100, 85
 

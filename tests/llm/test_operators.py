@@ -194,6 +194,14 @@ def test_signatures_meet_by_the_pigeonhole(spark):
     assert all(keys[rows[0][0]] & keys[n] for n, _ in rows[1:])
 
 
+def test_expected_loss_of_links():
+    """Pairs just at the threshold whose signatures are too far apart to be sure to meet: less than one in ten million."""
+    for contract in (near_dups.QUERY, near_dups.STAGE):
+        n, p = contract.symbols, 1 - contract.least / near_dups.PER
+        assert contract.distance == 2 * contract.chunks - 1
+        assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(contract.distance + 1, n + 1)) < 1e-7
+
+
 def test_components_of_paths(spark):
     rng = random.Random(5)
     path = list(range(60))
