@@ -4,8 +4,9 @@ The stream is MPEG-2 Layer III, one channel, 16 kHz, with checksums: 576 samples
 frame. An ID3v2 tag comes first, then a variable-bitrate table, then frames at
 144 kbit/s that each carry 576 bytes as ancillary data behind empty main data
 (a player plays silence). The reader knows every layer and version: it skips
-tags, finds frames again after damage, verifies checksums, and returns exact
-durations and each frame's offset.
+tags, finds frames again after damage, and returns exact durations and each
+frame's offset. It verifies checksums of layer III only; layer I and II frames
+with a wrong one are not found to be damaged.
 
 Null texts count as empty; the payload is padded to one frame at least, so each
 row gives a file. Repeated rows give repeated results, an empty table none.
