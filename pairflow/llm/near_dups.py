@@ -12,20 +12,22 @@ the op2 query (``QUERY``), 0.8 for the pipeline's stage (``STAGE``).
 
 No bucket's pairs are all written out. Each member meets its bucket's most central
 node, the one whose buckets have the most members; links confirmed so make
-components. A bucket that is left with several meets the hub ``r``, the most central
-node of its largest component. A link of a member ``a`` outside the hub's component
-with any other member ``b`` needs
-
-    |a & b| >= least (|a| + |b|) / (PER + least),  but  |a & b & r| <= |a & r|,
-
-so that ``a`` and ``b`` must share so many shingles that ``r`` lacks as the two
-differ by. Such pairs meet on the rarest of those (a prefix filter, for each class
-of sizes of ``b``); where the bound asks for none, the node meets its bucket's
-members of that size. So copies of one text that are edited apart don't meet in
-pairs, and links are lost only if their signatures are further apart than
-``distance`` (``QUERY``: of 64 symbols 0.15 * 64 = 9.6 differ on average at the
-threshold; more than 27 in about one pair of 29 million. ``STAGE``: 0.2 * 64 = 12.8;
-more than 31 in one pair of 12 million).
+components. A bucket that is left with several meets the hub ``h``, the most central
+node of its largest component. Let ``D(a)`` be the shingles in which ``a`` and ``h``
+differ. Two members differ in ``|D(a)| + |D(b)| - 2 |D(a) & D(b)|`` shingles, and they
+link if that is at most ``(PER - least) / (PER + least)`` of ``|a| + |b|``. So with
+
+    weight(a) = (PER + least) |D(a)| - (PER - least) |a|
+
+a link needs ``|D(a) & D(b)| >= (weight(a) + weight(b)) / (2 (PER + least))``, exactly.
+If ``a`` is outside the hub's component, that is more than nothing for every ``b``:
+such pairs meet on the rarest elements of their differences (a prefix filter, for
+each class of weights of ``b``), and only where more than one component has the
+element. Copies of one text that are edited apart differ from the hub in elements
+of their own, which come first, so they don't meet in pairs; links are lost only
+if their signatures are further apart than ``distance`` (``QUERY``: of 64 symbols
+0.15 * 64 = 9.6 differ on average at the threshold; more than 27 in about one pair
+of 29 million. ``STAGE``: 0.2 * 64 = 12.8; more than 31 in one pair of 12 million).
 
 Documents without words, and null texts, have no set and are their own
 component. Fewer than five words are one shingle. Repeated rows are copies. A
@@ -65,8 +67,8 @@ class Contract(NamedTuple):
 QUERY = Contract()
 #: The pipeline's stage.
 STAGE = Contract(80, 64, 16, 31)
-#: Sizes within this ratio are of one class, for which the bound on shared shingles is worked out.
-SIZE_CLASS = 1.02
+#: A class of weights is this part of the hub's size wide (in shared elements), one element at least.
+CLASS_WIDTH = 1 / 64
 #: As many links (some 30 bytes each) are joined up into components in one task.
 ONE_TASK = 200_000
 #: Ids of documents whose full sets are needed are broadcast up to this many; beyond, a shuffle brings the texts.
@@ -162,19 +164,19 @@ def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-_REMAINDER = "a binary, b binary, a_n long, b_n long, common long, rest array<long>"
+_DIFFERENCE = "a binary, hub binary, a_n long, h_n long, common long, apart array<long>"
 
 
-def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles a and b share, and those of a that b lacks."""
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles a and its hub share, and those that only one of them has."""
     for batch in batches:
         rows = []
         for a, b in zip(batch["a_set"], batch["b_set"], strict=True):
             x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
             both = _in(x, y)
-            rows.append((len(x), len(y), int(both.sum()), x[~both].view(np.int64)))
+            rows.append((len(x), len(y), int(both.sum()), np.concatenate((x[~both], y[~_in(y, x)])).view(np.int64)))
         sizes = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _REMAINDER.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *sizes, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[x.split()[0] for x in _DIFFERENCE.split(", ")])
 
 
 def _keys(nodes: DataFrame, contract: Contract = QUERY) -> DataFrame:
@@ -293,44 +295,53 @@ def _links(nodes: DataFrame, docs: DataFrame, contract: Contract) -> DataFrame |
     parts = placed.where("size > 2").groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("root"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     live = written(placed.select("key", "node").join(parts.join(hubs, "root").select("key", "hub"), "key").where("node <> hub"))
     attached = live.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    remainders = written(_with_sets(written(attached), able, docs).mapInArrow(_remainder, _REMAINDER))
-    edges = edges.union(remainders.where((PER + least) * F.col("common") >= least * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+    differences = written(_with_sets(written(attached), able, docs).mapInArrow(_difference, _DIFFERENCE))
+    edges = edges.union(differences.where((PER + least) * F.col("common") >= least * (F.col("a_n") + F.col("h_n"))).select("a", F.col("hub").alias("b")))
     roots = components(edges)
 
-    # Nodes outside their hub's component with all that share a rare enough shingle that the hub lacks.
-    rooted = _rooted(_rooted(remainders, roots, "a", "a_root"), roots, "b", "hub_root").withColumnRenamed("b", "hub")
-    rooted = rooted.withColumns({"outside": F.col("a_root") != F.col("hub_root"), "class": F.floor(F.log("a_n") / math.log(SIZE_CLASS)).cast("int")})
-    # Only hubs that some node is outside of.
-    open_ = rooted.where("outside").select("hub").distinct()
-    nodes_of = written(rooted.join(open_, "hub", "left_semi").select("hub", "a", "a_root", "a_n", "class", "common", "outside", "rest"))
-    if not nodes_of.limit(1).count():
+    # Nodes outside their hub's component with all that share a rare enough element of their differences from the hub.
+    met = _across(differences, roots, least)
+    if met is None:
         return roots
-    # How many of a's shingles that the hub lacks a partner of at least some size must have.
-    must = lambda size: F.ceil(least * (F.col("a_n") + size) / (PER + least)) - F.col("common")
-    classes = nodes_of.groupBy("hub", "class").agg(F.min("a_n").alias("low"), F.max("a_n").alias("high"))
-    probes = nodes_of.where("outside").join(classes.withColumnRenamed("class", "b_class"), "hub").where((F.col("high") * PER >= F.col("a_n") * least) & (F.col("low") * least <= F.col("a_n") * PER))
-    probes = written(probes.withColumn("must", must(F.col("low"))).select("hub", "a", "b_class", "must", (F.size("rest") - F.col("must") + 1).alias("prefix")))
-    own = nodes_of.withColumn("prefix", F.size("rest") - F.greatest(must(F.ceil(F.col("a_n") * least / PER)), F.lit(1)) + 1)
-    exploded = own.where("prefix > 0").select("hub", "a", "prefix", F.explode("rest").alias("shingle"))
-    often = exploded.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = exploded.join(often, ["hub", "shingle"], "left").withColumn("rank", F.row_number().over(W.partitionBy("hub", "a").orderBy(F.coalesce("often", F.lit(1)), "shingle")))
-    chosen = written(ranked.where("rank <= prefix and often is not null").drop("prefix", "often").join(nodes_of.drop("rest", "common"), ["hub", "a"]))
-    few = chosen.where("outside").join(probes.where("must > 0"), ["hub", "a"]).where("rank <= prefix").select("hub", "b_class", "shingle", "a", "a_root", "a_n")
-    every = chosen.select("hub", F.col("class").alias("b_class"), "shingle", F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("outside").alias("b_outside"))
-    sizes = F.least("a_n", "b_n") * PER >= F.greatest("a_n", "b_n") * least
-    met = few.join(every, ["hub", "b_class", "shingle"]).where((F.col("a_root") != F.col("b_root")) & sizes & (~F.col("b_outside") | (F.col("a") < F.col("b")))).select("a", "b")
-    # Where the bound asks for none, the node meets the members of its buckets that have such a size.
-    placed = live.withColumnRenamed("node", "a").join(nodes_of.select("hub", "a", "a_root", "class"), ["hub", "a"]).join(_as(able, "a"), "a")
-    loose = placed.join(probes.where("must <= 0").select("hub", "a", "b_class"), ["hub", "a"]).select("key", "hub", "b_class", "a", "a_root", "a_n", "a_s")
-    others = placed.select(F.col("key"), F.col("hub"), F.col("class").alias("b_class"), F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("a_s").alias("b_s"))
-    wide = loose.join(others, ["key", "hub", "b_class"]).where((F.col("a_root") != F.col("b_root")) & _may_link("a", "b", contract)).select("a", "b")
-    met = met.distinct().join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b", contract)).select("a", "b")
-    pairs = written(met.union(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not pairs.limit(1).count():
+    likely = met.join(_as(able, "a"), "a").join(_as(able, "b"), "b").where(_may_link("a", "b", contract)).select("a", "b")
+    pairs = written(likely.distinct())
+    if pairs.isEmpty():
         return roots
     return components(edges.union(_with_sets(pairs, able, docs).mapInArrow(_confirm(least), "a binary, b binary")))
 
 
+def _across(differences: DataFrame, roots: DataFrame | None, least: int) -> DataFrame | None:
+    """Pairs (a, b) of nodes of one hub and different components, of which one is outside the hub's, that share as much of their differences as a link needs; some that share less are among them. None if no node is outside."""
+    per, off = PER + least, PER - least
+    rooted = _rooted(_rooted(differences, roots, "a", "a_root"), roots, "hub", "hub_root")
+    # In shared elements: half of (w of a + w of b) are needed.
+    weighed = rooted.withColumns({"outside": F.col("a_root") != F.col("hub_root"), "d": F.size("apart"), "w": per * F.size("apart") - off * F.col("a_n")})
+    weighed = weighed.withColumn("class", F.floor(F.col("w") / (2 * per * F.greatest(F.lit(1.0), F.col("h_n") * CLASS_WIDTH))).cast("int"))
+    # Only hubs that some node is outside of.
+    reach = weighed.groupBy("hub").agg(F.min("w").alias("w_all"), F.min(F.when(F.col("outside"), F.col("w"))).alias("w_out")).where("w_out is not null")
+    nodes = written(weighed.join(reach, "hub").select("hub", "a", "a_root", "a_n", "d", "w", "class", "outside", "w_all", "w_out", "apart"))
+    if nodes.isEmpty():
+        return None
+    needed = lambda w: F.greatest(F.lit(1), F.ceil((F.col("w") + w) / (2 * per)))
+    classes = nodes.groupBy("hub", "class").agg(F.min("w").alias("w_low"), F.max("d").alias("d_high"), F.min("a_n").alias("low"), F.max("a_n").alias("high")).withColumnRenamed("class", "b_class")
+    probes = nodes.where("outside").select("hub", "a", "a_n", "d", "w").join(classes, "hub").withColumn("needed", needed(F.col("w_low")))
+    sizes = (F.col("high") * PER >= F.col("a_n") * least) & (F.col("low") * least <= F.col("a_n") * PER)
+    probes = probes.where(sizes & (F.col("needed") <= F.least("d", "d_high"))).select("hub", "a", "b_class", (F.col("d") - F.col("needed") + 1).alias("prefix"))
+
+    # Each node's elements, the rarest of its hub's first, as far as any partner asks; those of one component only can't be shared across.
+    asked = F.col("d") - F.when(F.col("outside"), needed(F.col("w_all"))).otherwise(needed(F.col("w_out"))) + 1
+    elements = nodes.withColumn("prefix", asked).where("prefix > 0").select("hub", "a", "a_root", "prefix", F.explode("apart").alias("element"))
+    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often"), F.min("a_root").alias("one"), F.max("a_root").alias("other")).where("often > 1").select("hub", "element", "often", (F.col("one") != F.col("other")).alias("across"))
+    ranked = elements.join(often, ["hub", "element"], "left").withColumn("rank", F.row_number().over(W.partitionBy("hub", "a").orderBy(F.coalesce("often", F.lit(1)), "element")))
+    chosen = written(ranked.where("rank <= prefix and across").select("hub", "a", "element", "rank").join(nodes.drop("apart"), ["hub", "a"]))
+    few = chosen.where("outside").join(probes, ["hub", "a"]).where("rank <= prefix").select("hub", "b_class", "element", "a", "a_root", "a_n", F.col("d").alias("a_d"), F.col("w").alias("a_w"))
+    indexed = chosen.where(F.col("rank") <= F.col("d") - needed(F.col("w_out")) + 1)
+    every = indexed.select("hub", F.col("class").alias("b_class"), "element", F.col("a").alias("b"), F.col("a_root").alias("b_root"), F.col("a_n").alias("b_n"), F.col("d").alias("b_d"), F.col("w").alias("b_w"), F.col("outside").alias("b_outside"))
+    may = (F.least("a_n", "b_n") * PER >= F.greatest("a_n", "b_n") * least) & (F.col("a_w") + F.col("b_w") <= 2 * per * F.least("a_d", "b_d"))
+    met = few.join(every, ["hub", "b_class", "element"]).where((F.col("a_root") != F.col("b_root")) & may & (~F.col("b_outside") | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _grouped(docs: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """Every row's (doc_id, tie, n_shingles, node), a tie being the text's hash, and every node's (node, root, rep): its component's smallest node and smallest id."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
@@ -361,10 +372,23 @@ def deduplicated(docs: DataFrame, contract: Contract = QUERY) -> DataFrame:
     placed = written(signed.where("node is not null").join(rooted, "node").select("doc_id", "tie", "root"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "tie")
     first = placed.groupBy("root").agg(F.min(place).alias("first"))
-    gone = written(placed.join(first, "root").where(place != F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct())
-    if rows_upto(gone, BROADCAST_IDS):
-        gone = F.broadcast(gone)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_gone_tie"))
-    kept = docs.join(gone, same, "left_anti")
-    again = placed.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    # Of rows that repeat, id and text alike, the one that stays is known by its id and tie only.
+    gone_id, gone_tie, again = (_unused(docs.columns, x) for x in ("gone_id", "gone_tie", "again"))
+    judged = placed.join(first, "root").groupBy("doc_id", "tie").agg(F.min(place != F.col("first")).alias("gone"), F.count(F.lit(1)).alias("n"))
+    marked = written(judged.where("gone or n > 1").select(F.col("doc_id").alias(gone_id), F.col("tie").alias(gone_tie), (~F.col("gone")).alias(again)))
+    if rows_upto(marked, BROADCAST_IDS):
+        marked = F.broadcast(marked)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(gone_tie))
+    left = docs.join(marked, same, "left")
+    if marked.where(again).isEmpty():
+        return left.where(F.col(gone_tie).isNull()).select(*docs.columns)
+    once = left.where(F.col(gone_tie).isNull()).select(*docs.columns)
+    return once.unionAll(left.where(again).select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def _unused(columns: list[str], name: str) -> str:
+    """The name, with more lines before it if a column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name

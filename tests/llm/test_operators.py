@@ -112,7 +112,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def plain_components(rows):
+def plain_components(rows, least=85):
     """(doc_id, text) pairs to (set size, smallest id reachable), by every pair with a shingle in common."""
     sets = {i: shingles(t) for i, t in rows}
     having, root = defaultdict(list), {i: i for i in sets}
@@ -127,7 +127,7 @@ def plain_components(rows):
             having[x].append(i)
     common = Counter((a, b) for ids in having.values() for a in ids for b in ids if a < b)
     for (a, b), n in common.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= least * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -158,6 +158,51 @@ def test_near_duplicates(spark, seed):
     assert all(r.kept == (r.component_id == i) for i, r in found.items())
 
 
+def apart(size, words, most, seed):
+    """Copies of a text that is not among them, each with its own changed words, and with some that many share: at one place, the same new word."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(size):
+        copy = list(base)
+        for _ in range(rng.randrange(1, most + 1)):
+            copy[rng.randrange(words)] = f"w{rng.randrange(10**6)}"
+        if i % 3:
+            copy[words // 3 * (i % 3)] = f"shared{i % 3}"
+        rows.append((i * 7 % 1009, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "words", "most"), [(250, 150, 5), (150, 60, 2), (120, 400, 14)])
+@pytest.mark.parametrize("contract", [near_dups.QUERY, near_dups.STAGE])
+def test_copies_edited_apart(spark, size, words, most, contract):
+    """Many nodes outside their hub's component: what the prefix filter leaves must still be every link."""
+    rows = apart(size, words, most, size)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), contract).collect()}
+    assert found == plain_components(rows, contract.least) and len({c for _, c in found.values()}) > 3
+
+
+def test_all_pairs_that_can_link_meet_across_components(spark):
+    """The filter alone against brute force: of random sets around a hub, all pairs that link with one of them outside are met."""
+    rng = random.Random(9)
+    base = list(range(200))
+    rows, sets = [], {}
+    for i in range(160):
+        own = set(rng.sample(base, 200 - rng.randrange(0, 30))) | {1000 + rng.randrange(60) for _ in range(rng.randrange(0, 25))}
+        if i % 5 == 0:
+            own = set(rng.sample(range(5000, 5150), 144)) | set(rng.sample(base, rng.randrange(3)))
+        sets[i.to_bytes(2, "big")] = own
+    hub = set(base)
+    name = b"hub"
+    for a, s in sets.items():
+        rows.append((a, name, len(s), len(hub), len(s & hub), sorted(s ^ hub)))
+    inside = [a for a, s in sets.items() if 100 * len(s & hub) >= 85 * len(s | hub)]
+    roots = spark.createDataFrame([(b"", a) for a in [*inside, name]], "root binary, node binary")
+    met = {(bytes(r.a), bytes(r.b)) for r in near_dups._across(spark.createDataFrame(rows, near_dups._DIFFERENCE), roots, 85).collect()}
+    due = {(a, b) for a in sets for b in sets if a < b and not (a in inside and b in inside) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(inside) > 20 and len(due) > 20 and due <= met
+
+
 def test_near_duplicates_of_documents(spark):
     docs = documents(spark)
     expected = plain_components([(r.doc_id, r.text) for r in docs.collect()])
@@ -178,6 +223,12 @@ def test_near_duplicates_on_awkward_rows(spark, awkward, empty):
     left = Counter(r.doc_id for r in kept.collect())
     assert left == Counter({1: 1, 2: 1, 3: 1, None: 2, 4: 1, 5: 1, 6: 1, -7: 1})
     assert near_dups.deduplicated(empty).count() == 0
+    # Rows without words all stay, repeated or not, whatever else repeats, and columns may have any name.
+    odd = spark.createDataFrame([(2, None, 1), (2, None, 1), (3, " ", 1), (3, " ", 2), (None, "", 1)], "doc_id long, text string, gone_id int").withColumns({"again": F.lit(1), "gone_tie": F.lit(2), "_gone_id": F.lit(3)})
+    more = odd.union(spark.createDataFrame([(4, "a b", 1, 1, 1, 1), (4, "a b", 2, 1, 1, 1), (5, "a b", 2, 1, 1, 1)], odd.schema))
+    for docs in (odd, more):
+        left = Counter(r.doc_id for r in near_dups.deduplicated(docs).collect())
+        assert near_dups.deduplicated(docs).columns == docs.columns and left == Counter({2: 2, 3: 2, None: 1} | ({4: 1} if docs is more else {}))
 
 
 def test_signatures_meet_by_the_pigeonhole(spark):
