@@ -5,8 +5,8 @@ frame. An ID3v2 tag comes first, then a variable-bitrate table, then frames at
 144 kbit/s that each carry 576 bytes as ancillary data behind empty main data
 (a player plays silence). The reader knows every layer and version: it skips
 tags, finds frames again after damage, and returns exact durations and each
-frame's offset. It verifies checksums of layer III only; layer I and II frames
-with a wrong one are not found to be damaged.
+frame's offset. It verifies the checksums of all three layers. An ID3v1 tag counts
+only where a frame ends (or nothing is in step) and just its 128 bytes follow.
 
 Null texts count as empty; the payload is padded to one frame at least, so each
 row gives a file. Repeated rows give repeated results, an empty table none.
@@ -40,6 +40,16 @@ BITRATES = {
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 
 
+#: Fixed values of the format, for layer II: subbands, and (first subband, bits of its allocation), by table.
+ALLOCATION = {
+    "a": (27, ((0, 4), (11, 3), (23, 2))),
+    "b": (30, ((0, 4), (11, 3), (23, 2))),
+    "c": (8, ((0, 4), (2, 3))),
+    "d": (12, ((0, 4), (2, 3))),
+    "2": (30, ((0, 4), (4, 3), (11, 2))),
+}
+
+
 class Header(NamedTuple):
     version: float
     layer: int
@@ -49,6 +59,8 @@ class Header(NamedTuple):
     length: int
     samples: int
     channels: int
+    #: Subbands below this are coded by channel; above, joint stereo shares them.
+    bound: int = 32
 
 
 def _crc_table() -> list[int]:
@@ -72,6 +84,16 @@ def crc16(data: bytes) -> int:
     return value
 
 
+def crc16_bits(value: int, data: bytes, bits: int) -> int:
+    """The checksum so far, carried on over the first bits of some bytes."""
+    for byte in data[: bits // 8]:
+        value = ((value << 8) & 0xFFFF) ^ _CRC[(value >> 8) ^ byte]
+    for i in range(bits & ~7, bits):
+        top = (value >> 15) ^ ((data[i // 8] >> (7 - i % 8)) & 1)
+        value = ((value << 1) & 0xFFFF) ^ (0x8005 if top else 0)
+    return value
+
+
 def read_header(word: int) -> Header | None:
     """The frame that 32 bits announce, or None if they are no frame header (or of a free bitrate)."""
     if word >> 21 != 0x7FF:
@@ -88,7 +110,7 @@ def read_header(word: int) -> Header | None:
     else:
         samples = 1152 if layer == 2 or version == 1 else 576
         length = samples // 8 * 1000 * kbits // rate + padding
-    return Header(version, layer, not (word >> 16) & 1, kbits, rate, length, samples, 1 if (word >> 6) & 3 == 3 else 2)
+    return Header(version, layer, not (word >> 16) & 1, kbits, rate, length, samples, 1 if (word >> 6) & 3 == 3 else 2, 4 * ((word >> 4) & 3) + 4 if (word >> 6) & 3 == 1 else 32)
 
 
 def side_length(h: Header) -> int:
@@ -96,6 +118,34 @@ def side_length(h: Header) -> int:
     return (17 if h.channels == 1 else 32) if h.version == 1 else (9 if h.channels == 1 else 17)
 
 
+def covered_bits(h: Header, body: bytes) -> int:
+    """How many bits after the checksum it covers: layer III's side information, layer I's allocation, layer II's allocation and scale factor selection."""
+    if h.layer == 3:
+        return 8 * side_length(h)
+    shared = h.channels == 2
+    if h.layer == 1:
+        return 4 * (32 * h.channels - (32 - h.bound) * shared)
+    each = h.kbits // h.channels
+    if h.version != 1:
+        name = "2"
+    elif 56 <= each and (h.rate == 48000 or each <= 80):
+        name = "a"
+    elif each >= 96:
+        name = "b"
+    else:
+        name = "d" if h.rate == 32000 else "c"
+    subbands, widths = ALLOCATION[name]
+    value, size, at, selections = int.from_bytes(body[:64], "big"), 8 * len(body[:64]), 0, 0
+    for band in range(subbands):
+        width = next(w for first, w in reversed(widths) if band >= first)
+        coded = 2 if shared and band < h.bound else 1
+        for _ in range(coded):
+            at += width
+            if at <= size and (value >> (size - at)) & ((1 << width) - 1):
+                selections += 2 * (h.channels if coded == 1 else 1)
+    return at + selections
+
+
 def _header_bytes(index: int) -> bytes:
     """MPEG-2 layer III with a checksum, 16 kHz, one channel, at the bitrate with this index."""
     return struct.pack(">I", 0x7FF << 21 | 2 << 19 | 1 << 17 | 0 << 16 | index << 12 | 2 << 10 | 3 << 6)
@@ -163,7 +213,8 @@ def _tags(data: bytes) -> tuple[dict, int]:
 def read_media(data: bytes, unit: int = UNIT) -> Media:
     """Every frame of a file. A header counts if it goes on as the frame before began, or if another of its kind, the end or a tag follows its frame."""
     tags, at = _tags(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    end = len(data)
+    tag = end - 128 if data[-128:-125] == b"TAG" else -1
     start, table, offsets, damaged, parts, kinds = at, None, [], [], [], set()
     skipped = samples = rate = 0
     seen: dict[bytes, Header | None] = {}
@@ -177,18 +228,22 @@ def read_media(data: bytes, unit: int = UNIT) -> Media:
 
     synced, kind = False, 0
     while at + 4 <= end:
+        if at == tag:
+            end = tag
+            break
         h = header(at)
         after = at + h.length if h else 0
         # Sync, version, layer, protection, rate and channels stay the same in a stream.
         own = int.from_bytes(data[at : at + 4], "big") & 0xFFFF0CC0
         if h and after <= end and not (synced and own == kind):
             follows = header(after) if after < end else None
-            if after != end and not (follows and (follows.version, follows.layer, follows.rate) == (h.version, h.layer, h.rate)):
+            if after not in (end, tag) and not (follows and (follows.version, follows.layer, follows.rate) == (h.version, h.layer, h.rate)):
                 h = None
         if not h or after > end:
             synced = False
             following = data.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
+            following = tag if at < tag < following else following
             skipped += following - at
             at = following
             continue
@@ -201,10 +256,11 @@ def read_media(data: bytes, unit: int = UNIT) -> Media:
             table = counts
             at = after
             continue
-        if h.protected and h.layer == 3:
-            covered = data[at + 2 : at + 4] + data[body:side] + data[at + 4 : body]
+        if h.protected:
+            bits = covered_bits(h, data[body:after])
+            covered = data[at + 2 : body] + data[body : body + (bits + 7) // 8]
             if covered not in checked:
-                checked[covered] = crc16(covered[:-2]) == int.from_bytes(covered[-2:], "big")
+                checked[covered] = body + bits / 8 <= after and crc16_bits(crc16(covered[:2]), covered[4:], bits) == int.from_bytes(covered[2:4], "big")
             if not checked[covered]:
                 damaged.append(len(offsets))
         offsets.append(at)
