@@ -10,6 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,25 @@ def rows_upto(frame: DataFrame, bound: int) -> bool:
     return frame.limit(bound + 1).count() <= bound
 
 
+class Shared:
+    """An object for the executors' Python workers: sent once, pickled by value, so that they need no package of ours."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent, self._own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return self._sent
+
+    def __setstate__(self, sent):
+        self._sent, self._own = sent, None
+
+    @property
+    def value(self):
+        if self._own is None:
+            self._own = cloudpickle.loads(self._sent.value)
+        return self._own
+
+
 U64 = np.uint64
 _MUL = (U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53))
 
@@ -71,13 +91,14 @@ _LOWER[65:91] += 32
 
 
 class Words(NamedTuple):
-    """Words of some texts joined by blanks: the bytes, each word's start, end and hash, and words per text."""
+    """Words of some texts joined by blanks: the bytes, each word's start, end and hash, words per text, and where each text and the blank after it end."""
 
     raw: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     per_text: np.ndarray
+    text_ends: np.ndarray
 
 
 def scan_words(texts: list[str | None], lower: bool = True) -> Words:
@@ -93,7 +114,7 @@ def scan_words(texts: list[str | None], lower: bool = True) -> Words:
     starts, ends = edge[0::2], edge[1::2]
     per_text = np.diff(np.concatenate(([0], np.searchsorted(starts, text_ends))))
     if not len(starts):
-        return Words(raw, starts, ends, np.zeros(0, U64), per_text)
+        return Words(raw, starts, ends, np.zeros(0, U64), per_text, text_ends)
     lengths = ends - starts
     since = np.arange(len(raw), dtype=np.int64) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(raw)]))))
     values = ((_LOWER[raw] if lower else raw).astype(U64) + U64(1)) * _POWERS[since & 63]
@@ -103,7 +124,7 @@ def scan_words(texts: list[str | None], lower: bool = True) -> Words:
     for i in np.flatnonzero(lengths > 64).tolist():
         a, b = starts[i], ends[i]
         sums[i] = mix(values[a:b] ^ mix(since[a:b].astype(U64))).sum(dtype=U64)
-    return Words(raw, starts, ends, mix(sums ^ (lengths.astype(U64) * U64(0x9FB21C651E98DF25))), per_text)
+    return Words(raw, starts, ends, mix(sums ^ (lengths.astype(U64) * U64(0x9FB21C651E98DF25))), per_text, text_ends)
 
 
 def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 Filters of several widths slide over the bytes of fixed-length windows; each
 filter's strongest answer in a window goes to a softmax over languages. The
-network is trained in numpy on a bounded sample of labelled text. A document's
+network is trained in numpy on a bounded sample of labelled text, in which every
+language has its part. A document's
 prediction averages the windows of its whole text, by their bytes.
 
 Null texts and those without a letter are ``und``, with score 0. Rows with a null
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, together
+from .common import Shared, fold, together, written
 
 UNKNOWN = "und"
 #: Bytes that a window's filters begin at.
@@ -30,10 +31,13 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDED = 8
-#: The sample to learn from: about so many documents a language, so many characters of each.
-SAMPLE_DOCUMENTS = 700
-SAMPLE_CHARACTERS = 1500
-SAMPLE_LANGUAGES = 100
+#: The sample to learn from: about so many documents, as many of each language (one at least), whole; none longer than this.
+SAMPLE_DOCUMENTS = 2800
+SAMPLE_CHARACTERS = 200_000
+#: Windows of them that are learnt from, drawn from all over their texts.
+SAMPLE_WINDOWS = 36_000
+#: Languages are broadcast up to this many.
+BROADCAST_LANGUAGES = 50_000
 #: A document whose best language scores less is in none of them.
 LEAST_SCORE = 0.4
 EPOCHS = 4
@@ -83,21 +87,25 @@ class Folded:
     dense: np.ndarray
     offset: np.ndarray
 
-    def windows(self, flat: np.ndarray) -> np.ndarray:
-        """Probability of each language for each window."""
+    def windows(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probability of each language for each window; filters look on into the next window of the same text, and see zeros after its last."""
         n = len(flat) // WINDOW
-        ended = np.concatenate((flat, np.zeros(_PAD, np.uint8))).astype(np.uint16)
-        pairs = (ended[:-1] << 8) | ended[1:]
+        wide = np.zeros((n, WINDOW + _PAD), dtype=np.uint16)
+        wide[:, :WINDOW] = flat.reshape(n, WINDOW)
+        wide[:-1, WINDOW:] = wide[1:, :_PAD]
+        wide[np.cumsum(counts) - 1, WINDOW:] = 0
+        pairs = (wide[:, :-1] << 8) | wide[:, 1:]
         pooled = np.empty((n, self.dense.shape[0]), dtype=np.float32)
         f = FILTERS
         for lo in range(0, n, _CHUNK):
-            a, b = lo * WINDOW, min(n, lo + _CHUNK) * WINDOW
-            answers = self.first.take(pairs[a:b], axis=0)
-            answers[:, f : 2 * f] += self.third.take(ended[a + 2 : b + 2], axis=0)
-            answers[:, 2 * f :] += self.last.take(pairs[a + 2 : b + 2], axis=0)
-            pooled[lo : lo + _CHUNK] = answers.reshape(-1, WINDOW, 3 * f).max(axis=1)
+            part = slice(lo, lo + _CHUNK)
+            answers = self.first.take(pairs[part, :WINDOW], axis=0)
+            answers[:, :, f : 2 * f] += self.third.take(wide[part, 2 : WINDOW + 2], axis=0)
+            answers[:, :, 2 * f :] += self.last.take(pairs[part, 2 : WINDOW + 2], axis=0)
+            pooled[part] = answers.max(axis=1)
         np.maximum(pooled, 0, out=pooled)
-        logits = pooled @ self.dense + self.offset
+        # In double precision, so that what else is in the batch doesn't show after rounding.
+        logits = pooled.astype(np.float64) @ self.dense.astype(np.float64) + self.offset
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         return logits / logits.sum(axis=1, keepdims=True)
@@ -107,11 +115,11 @@ class Folded:
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         if known:
             flat, counts, sizes = windows_of([texts[i] for i in known])
-            weighted = self.windows(flat).astype(np.float64) * sizes[:, None]
+            weighted = self.windows(flat, counts) * sizes[:, None]
             starts = np.cumsum(counts) - counts
             mean = np.add.reduceat(weighted, starts, axis=0) / np.add.reduceat(sizes, starts)[:, None]
             for i, best, p in zip(known, mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
-                labels[i], scores[i] = self.languages[best], min(1.0, p)
+                labels[i], scores[i] = self.languages[best], min(1.0, round(p, 9))
         return labels, scores
 
 
@@ -123,7 +131,15 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
     target = np.repeat([languages.index(x) for x in labels], counts).astype(np.int64)
     window = flat.reshape(-1, WINDOW)
     full = sizes >= min(WINDOW, 16)
-    window, target = window[full], target[full]
+    drawn = np.flatnonzero(full)
+    if len(drawn) > SAMPLE_WINDOWS:
+        # As many of each document as it has, up to what leaves room for all.
+        place = np.arange(len(full)) - np.repeat(np.cumsum(counts) - counts, counts)
+        shuffled = np.argsort(rng.random(len(full)) + np.repeat(np.arange(len(counts)), counts), kind="stable")
+        turn = np.empty(len(full), dtype=np.int64)
+        turn[shuffled] = place
+        drawn = drawn[np.argsort(turn[drawn] + rng.random(len(drawn)), kind="stable")[:SAMPLE_WINDOWS]]
+    window, target = window[drawn], target[drawn]
     # Neighbours beyond the window are zeros while learning.
     window = np.concatenate((window, np.zeros((len(window), _PAD), np.uint8)), axis=1)
     classes = max(1, len(languages))
@@ -176,20 +192,22 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
     return ByteNetwork(languages, p["e"], [p[f"f{i}"] for i in range(len(WIDTHS))], [p[f"b{i}"] for i in range(len(WIDTHS))], p["d"], p["o"])
 
 
-def learning_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", folds: int = 4, kept_out: int = 2, per_language: int = SAMPLE_DOCUMENTS) -> list:
-    """(text, lang) of about ``per_language`` documents of each language, chosen by the hash of the id, from the folds to learn from.
+def learning_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", folds: int = 4, kept_out: int = 2, documents: int = SAMPLE_DOCUMENTS) -> list:
+    """(text, lang) of about ``documents`` documents, chosen by the hash of the id, from the folds to learn from.
 
-    The languages are the ``SAMPLE_LANGUAGES`` most frequent; the driver gets
-    ``per_language * SAMPLE_LANGUAGES`` rows at most.
+    Every language has its part, one document at least. Of rows with one id and
+    language the smallest text counts. The driver gets no more than the larger of
+    ``2 * documents`` and two rows a language.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull()).where(fold("k", folds) != kept_out)
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(SAMPLE_LANGUAGES).collect()
-    if not counts:
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull()).where(fold("k", folds) != kept_out).where(F.length("t") <= SAMPLE_CHARACTERS)
+    counts = written(rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k")).alias("least")))
+    languages = counts.count()
+    if not languages:
         return []
-    part = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, per_language / r["count"])))])
-    chance = F.pmod(F.xxhash64("k"), F.lit(1_000_000)) / 1_000_000
-    chosen = rows.where(chance < F.element_at(part, F.col("l"))).select(F.substring("t", 1, SAMPLE_CHARACTERS).alias("t"), "l", "k")
-    found = chosen.limit(2 * per_language * len(counts)).collect()
+    hashed = F.xxhash64("k")
+    chance = F.pmod(hashed, F.lit(1_000_000)) / 1_000_000
+    chosen = rows.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "l").where((chance < documents / languages / F.col("n")) | (hashed == F.col("least")))
+    found = chosen.groupBy("k", "l").agg(F.min("t").alias("t")).orderBy(F.xxhash64("k", "l"), "k", "l").limit(2 * max(documents, languages)).collect()
     return sorted(((r["t"], r["l"]) for r in found if has_letter(r["t"])), key=lambda r: (r[1], r[0]))
 
 
@@ -213,7 +231,7 @@ def _predicting(model):
 
 def identified(docs: DataFrame, network: ByteNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, lang_pred and score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(network)  # some hundred kB
+    model = Shared(docs.sparkSession, network)  # some hundred kB
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_predicting(model), "doc_id long, lang_pred string, score double")
 
@@ -239,5 +257,5 @@ def _keeping(model, least: float):
 
 def documents_with_language(docs: DataFrame, network: ByteNetwork, least: float = LEAST_SCORE) -> DataFrame:
     """The rows in a language that was learnt, with all their columns: neither ``und`` nor scored below ``least``."""
-    model = docs.sparkSession.sparkContext.broadcast(network)
+    model = Shared(docs.sparkSession, network)
     return docs.mapInArrow(_keeping(model, least), docs.schema)

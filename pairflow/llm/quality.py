@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fold, mix, scan_words, together
+from .common import U64, Shared, fold, mix, scan_words, together
 
 PASSAGE = 48
 HASHED = 64
@@ -30,9 +30,9 @@ ENCODED = 24
 ATTENTION = 12
 #: A score from which on a document counts as good.
 THRESHOLD = 0.3
-#: The sample to learn from: about so many labelled documents, the first characters of each.
+#: The sample to learn from: so many labelled documents at most, chosen by their ids' hashes, whole; none longer than this.
 SAMPLE_DOCUMENTS = 3000
-SAMPLE_CHARACTERS = 12_000
+SAMPLE_CHARACTERS = 200_000
 EPOCHS = 12
 
 
@@ -67,9 +67,12 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     passage = first[text_of] + (np.arange(len(text_of)) - begin[text_of]) // PASSAGE
     words = np.bincount(passage, minlength=total)
     some = np.maximum(1, words)
-    # From one word's start to the next one's, spaces included.
-    span = np.diff(np.concatenate((w.starts, [len(w.raw)])))
-    signs = np.bincount(np.repeat(passage, span) * KINDS + KIND[w.raw[w.starts[0] :]], minlength=total * KINDS).reshape(total, KINDS)
+    # From one word's start to the next one's, spaces included, but no further than its text.
+    following = np.append(w.starts[1:], len(w.raw))
+    end = np.minimum(following, w.text_ends[text_of])
+    span = end - w.starts
+    covered = np.repeat(np.tile([True, False], len(span)), np.stack((span, following - end), axis=1).ravel())
+    signs = np.bincount(np.repeat(passage, span) * KINDS + KIND[w.raw[w.starts[0] :][covered]], minlength=total * KINDS).reshape(total, KINDS)
     out[:, :KINDS] = np.sqrt(signs / np.maximum(1, signs.sum(axis=1, keepdims=True)))
     hashed = np.bincount(passage * HASHED + (w.hashes % U64(HASHED)).astype(np.int64), minlength=total * HASHED).reshape(total, HASHED)
     out[:, KINDS : KINDS + HASHED] = np.sqrt(hashed / some[:, None])
@@ -77,9 +80,10 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     mean = np.bincount(passage, weights=lengths, minlength=total) / some
     square = np.bincount(passage, weights=lengths**2, minlength=total) / some
     again = np.zeros(len(text_of), dtype=bool)
-    again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (text_of[1:] == text_of[:-1])
+    same = np.append(False, text_of[1:] == text_of[:-1])
+    again[1:] = (w.hashes[1:] == w.hashes[:-1]) & same[1:]
     pair = np.zeros(len(text_of), dtype=bool)
-    pair[1:] = _seen_before(mix(w.hashes[:-1] * U64(0x9E3779B97F4A7C15) + w.hashes[1:]) ^ mix(text_of[1:].astype(U64)))
+    pair[same] = _seen_before((mix(w.hashes[:-1] * U64(0x9E3779B97F4A7C15) + w.hashes[1:]) ^ mix(text_of[1:].astype(U64)))[same[1:]])
     word = _seen_before(w.hashes ^ mix(passage.astype(U64) + U64(1 << 40)))
     share = lambda flag: np.bincount(passage, weights=flag, minlength=total) / some
     whole = np.bincount(text_of, weights=pair, minlength=len(texts)) / np.maximum(1, w.per_text)
@@ -103,8 +107,10 @@ class AttentionScorer:
     p: dict[str, np.ndarray]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Rounded where the order of sums, which depends on what else is scored, could show."""
         x, counts = features(texts)
-        return 1 / (1 + np.exp(-_forward(self.p, (x - self.mean) / self.scale, counts)["y"].astype(np.float64)))
+        p = {k: v.astype(np.float64) for k, v in self.p.items()}
+        return np.round(1 / (1 + np.exp(-_forward(p, (x.astype(np.float64) - self.mean) / self.scale, counts)["y"])), 9)
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -162,13 +168,16 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, kept_out: int = 0, documents: int = SAMPLE_DOCUMENTS) -> list:
-    """(text, label) of about ``documents`` labelled documents from the folds to learn from, chosen by the hash of the id; never over twice as many."""
+    """(text, label) of ``documents`` labelled documents at most, those with the smallest hashes of their ids, from the folds to learn from.
+
+    Of rows with one id the smallest text counts. What is broadcast and gathered
+    is bounded by ``documents`` and ``SAMPLE_CHARACTERS``.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull()).where(fold("k", folds) != kept_out)
-    share = min(1.0, documents / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share * 1_000_000).groupBy("k").agg(F.max("y").alias("y")).limit(2 * documents)
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.substring("text", 1, SAMPLE_CHARACTERS).alias("t"))
-    found = rows.join(F.broadcast(chosen), "k").limit(2 * documents).collect()  # the limits bound what is broadcast and gathered
-    return sorted((r["t"] or "", r["y"]) for r in found)
+    chosen = marked.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(documents)
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("t")).where(F.length("t") <= SAMPLE_CHARACTERS)
+    found = rows.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
+    return sorted((r["t"], r["y"]) for r in found)
 
 
 def learn(docs: DataFrame, labels: DataFrame, **options) -> AttentionScorer:
@@ -188,7 +197,7 @@ def _scoring(model):
 
 def scored(docs: DataFrame, scorer: AttentionScorer) -> DataFrame:
     """doc_id and score of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(scorer)  # some ten kB
+    model = Shared(docs.sparkSession, scorer)  # some ten kB
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scoring(model), "doc_id long, score double")
 
 
@@ -211,5 +220,5 @@ def _keeping(model, threshold: float):
 
 def good_documents(docs: DataFrame, scorer: AttentionScorer, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(scorer)
+    model = Shared(docs.sparkSession, scorer)
     return docs.mapInArrow(_keeping(model, threshold), docs.schema)

@@ -86,6 +86,13 @@ def test_languages(spark, awkward, empty):
     assert sum(found.values()) == len(AWKWARD) and found[(1, "en")] == 2
     assert found[(2, "und")] == found[(3, "und")] == found[(4, "und")] == found[(None, "und")] == 1
     assert language.languages(awkward).count() == len(AWKWARD)
+    alone = [network.folded().predict([d.text]) for d, _ in own]
+    together = network.folded().predict([d.text for d, _ in own])
+    assert together == tuple([x[i][0] for x in alone] for i in range(2))
+    # Every language has its part in the sample, however many there are and however often an id repeats.
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string"))).unionAll(docs.limit(1)).unionAll(docs.limit(1))
+    sample = language.learning_sample(many, documents=10)
+    assert {x for _, x in sample} >= {f"l{d.doc_id}" for d, r in own if not r.held_out and language.has_letter(d.text)}
     assert language.languages(empty).count() == 0
     assert all(r.lang_pred == "und" for r in language.languages(awkward.withColumn("lang", F.lit(None).cast("string"))).collect())
 
@@ -94,14 +101,16 @@ def test_network_is_folded_rightly():
     network = language.train(["the cat and the dog " * 20, "der hund und die katze " * 20], ["en", "de"], epochs=1)
     flat, counts, sizes = language.windows_of(["the dog und die katze, é " * 9, "a"])
     assert counts.sum() * language.WINDOW == len(flat) and len(sizes) == counts.sum()
-    ended = np.concatenate((flat, np.zeros(3, np.uint8)))
-    pooled = []
-    for w, f, b in zip(language.WIDTHS, network.filters, network.biases, strict=True):
-        answer = sum(network.embedding[ended[j : j + len(flat)]] @ f[j] for j in range(w)) + b
-        pooled.append(answer.reshape(-1, language.WINDOW, language.FILTERS).max(axis=1))
-    logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ network.dense + network.offset
-    plain = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
-    assert np.allclose(plain, network.folded().windows(flat), atol=1e-4)
+    plain = []
+    for own in np.split(flat, np.cumsum(counts)[:-1] * language.WINDOW):
+        ended = np.concatenate((own, np.zeros(3, np.uint8)))
+        pooled = []
+        for w, f, b in zip(language.WIDTHS, network.filters, network.biases, strict=True):
+            answer = sum(network.embedding[ended[j : j + len(own)]] @ f[j] for j in range(w)) + b
+            pooled.append(answer.reshape(-1, language.WINDOW, language.FILTERS).max(axis=1))
+        logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ network.dense + network.offset
+        plain.append(np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True))
+    assert np.allclose(np.concatenate(plain), network.folded().windows(flat, counts), atol=1e-4)
 
 
 # 2. Near duplicates
@@ -358,7 +367,12 @@ def test_quality(spark, awkward, empty):
     assert a[1].tolist() == [1250, 1, 1, 1] and np.allclose(a[0][-1], b[0][0])
     kept = quality.good_documents(awkward, scorer)
     assert kept.columns == awkward.columns and kept.count() <= len(AWKWARD)
-    assert np.allclose(scorer.scores(["one two", LONG])[0], scorer.scores(["one two"])[0], atol=1e-5)
+    texts = [r.text for r in docs.limit(40).collect()] + ["one two", LONG]
+    alone = [scorer.scores([t])[0] for t in texts]
+    assert scorer.scores(texts).tolist() == alone
+    # Nothing of what stands before or after a text in its batch counts.
+    for other in ("", None, " ", "\n\n  x", "  \n", LONG):
+        assert scorer.scores([x for t in texts for x in (t, other)])[::2].tolist() == alone
 
 
 # 6. Fingerprints
@@ -590,6 +604,59 @@ def test_media_reader_finds_frames_again():
         assert media.read_media(other).offsets == []
 
 
+def test_payloads_that_hold_a_tag():
+    """At every place of the last unit, and of the one before."""
+    for units in (1, 2):
+        for at in range(576 * units - 2):
+            payload = (b"x" * at + b"TAG").ljust(576 * units, b"y")
+            found = media.read_media(media.write_media(payload, len(payload)))
+            assert found.payload == payload and len(found.offsets) == units and not found.skipped and not found.damaged
+    tagged = media.read_media(media.write_media(payload, 3) + b"TAG" + b"z" * 125)
+    assert tagged.payload == payload and not tagged.skipped
+    after_junk = media.read_media(media.write_media(payload, 3) + b"\xff\xf3junk" + b"TAG" + b"\xff" * 125)
+    assert after_junk.payload == payload and after_junk.skipped == 6
+
+
+def plain_crc(bits):
+    value = 0xFFFF
+    for b in bits:
+        top = (value >> 15) ^ b
+        value = (value << 1) & 0xFFFF ^ (0x8005 if top else 0)
+    return value
+
+
+@pytest.mark.parametrize(
+    ("word", "widths"),
+    [
+        (0xFFFE90C0, [4] * 32),  # layer I, one channel
+        (0xFFFE9000, [4] * 64),  # two
+        (0xFFFE9050, [4] * (8 + 8 + 24)),  # joint from subband 8
+        (0xFFFC80C0, [4] * 11 + [3] * 12 + [2] * 7),  # layer II, 112 kbit/s alone
+        (0xFFFC10C0, [4] * 2 + [3] * 6),  # 32 kbit/s
+        (0xFFFC18C0, [4] * 2 + [3] * 10),  # and 32 kHz
+        (0xFFF4A000, [w for w in [4] * 4 + [3] * 7 + [2] * 19 for _ in range(2)]),  # version 2
+    ],
+)
+def test_checksums_of_layers_i_and_ii(word, widths):
+    rng = random.Random(word)
+    h = media.read_header(word)
+    assert h.protected and h.layer in (1, 2)
+    values = [rng.randrange(1 << w) for w in widths]
+    bits = [(v >> (w - 1 - i)) & 1 for v, w in zip(values, widths, strict=True) for i in range(w)]
+    bits += [rng.randrange(2) for _ in range(2 * sum(v > 0 for v in values) if h.layer == 2 else 0)]
+    covered = len(bits)
+    bits += [rng.randrange(2) for _ in range(8 * (h.length - 6) - covered)]
+    head = word.to_bytes(4, "big")
+    crc = plain_crc([(b >> (7 - i)) & 1 for b in head[2:] for i in range(8)] + bits[:covered])
+    body = bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8))
+    frame = head + crc.to_bytes(2, "big") + body
+    assert media.read_media(frame * 3).damaged == []
+    wrong = bytearray(frame)
+    wrong[6 + (covered - 1) // 8] ^= 1 << (7 - (covered - 1) % 8)
+    found = media.read_media(frame + bytes(wrong) + frame)
+    assert found.damaged == [1] and len(found.offsets) == 3
+
+
 def test_media_headers():
     header = media.read_header(0xFFFB9064)
     assert (header.version, header.layer, header.kbits, header.rate, header.length, header.samples, header.channels) == (1, 3, 128, 44100, 417, 1152, 2)
