@@ -1,29 +1,36 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Documents become blocks of words (a word keeps the blanks before it; no piece
-spans a later blank). Each distinct word of a block is exploded into its
-substrings of bounded length, and an equi-join with the piece table leaves the
-lattice's edges. Edges are grouped by word, and Spark's higher-order ``aggregate``
-folds them into one path. Everything is one stage without a shuffle: a block's
-rows stay in order in their task, and only the piece table is broadcast, whose
-size the model fixes.
-
-Two folds are there. ``viterbi`` finds the path with the largest sum of scores, as
-unigram models ask for. ``merges`` joins neighbours as byte-pair models do: the
-edge with the largest score (of equal ones the leftmost) that covers exactly two
-symbols, again and again. Byte-pair scores are only ranks of merges, so that for
-such a model Viterbi gives other pieces than the model's own for most words;
-``merges`` gives the same ones.
-
-Null and empty texts have no pieces. Characters without a piece become their
-UTF-8 bytes' pieces. A word of more than ``LONGEST_WORD`` characters is encoded by
-the library. Repeated rows are encoded each; an empty table gives no rows.
-Decoding gives the text back, but for the sign U+2581, which counts as a blank.
+A text's words (each with the blanks before it) are cut into units wherever no
+piece of the model has the two neighbouring characters inside, so that no edge
+spans a cut and the best path of a text is that of its units, one after another.
+
+Each distinct unit of the whole input is encoded once. Documents become blocks:
+places in a vocabulary of units. A block sends its units, packed, to buckets by
+hash; a bucket's distinct units are exploded into substrings of bounded length, an
+equi-join with the piece table (broadcast; the model fixes its size) leaves the
+lattice's edges, edges are grouped by unit, and Spark's higher-order ``aggregate``
+folds Viterbi over them: the path with the largest sum of scores. The ids go back
+to the blocks. Only buckets that hold units get a message, so that messages are
+never more than units.
+
+Edges are grouped where they are, since a task's rows stay in order between the
+explode and the group; a unit whose characters are not all there raises an error.
+
+The path is what unigram models ask for. A byte-pair model's scores are only the
+ranks of its merges: for such a model the path of the best sum is well defined and
+decodes to the same text, but its pieces are not always those of the merges.
+
+Null and empty texts have no pieces. A character without a piece scores less than
+any and becomes its UTF-8 bytes' pieces. Repeated rows are encoded each; an empty
+table gives no rows. Decoding gives the text back, but for the sign U+2581, which
+counts as a blank. A run of n characters without a cut takes time as n squared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import operator
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,13 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Shared, written
 from .language_model import pack, unpack
 
 BLANK = "▁"
 #: Occurrences of words in a block, about.
-BLOCK_WORDS = 2_000_000
-#: A word's boundaries are bits of a long.
-LONGEST_WORD = 60
+BLOCK_WORDS = 4_000_000
+#: Units of all blocks that a bucket gets, about, and buckets in a partition.
+BUCKET_UNITS, TOGETHER = 40_000, 4
+#: How much less than the worst piece a character without one scores.
+UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(r" +[^ ]*")
 
 
@@ -49,13 +59,15 @@ class Model:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.path = path
         sp = SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         self.pieces = [(sp.id_to_piece(i).replace(BLANK, " "), i, sp.get_score(i)) for i in ids if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.unknown = sp.unk_id()
+        self.unknown_score = min((s for _, _, s in self.pieces), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(p) for p, _, _ in self.pieces), default=1)
+        self.inside = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
+        self.spans_blanks = any(pair[1] == " " != pair[0] for pair in self.inside)
         self.raw = [b""] * len(ids)
         for p, i, _ in self.pieces:
             self.raw[i] = p.encode()
@@ -72,170 +84,231 @@ class Model:
         raw = value.to_bytes((value.bit_length() + 7) // 8 or 1, "big")
         return [self.bytes.get(b, self.unknown) for b in raw] if self.bytes else [self.unknown]
 
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text with a blank before it, each with its blanks."""
+        if not text:
+            return []
+        text = " " + text.replace(BLANK, " ")
+        return [text] if self.spans_blanks else _WORD.findall(text)
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text with a blank before it, each with its blanks."""
-    if not text:
-        return []
-    return _WORD.findall(" " + text.replace(BLANK, " "))
+    def units(self, word: str) -> list[str]:
+        """The word, cut wherever no piece has both neighbours."""
+        inside = self.inside
+        cuts = [i for i, held in enumerate(map(inside.__contains__, map(operator.add, word, word[1:])), 1) if not held]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
 
-_WORDS = "block int, place int, word string, payload binary"
+def _ragged(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen lists, one after another, of lists that lie one after another."""
+    begin, each = np.cumsum(lengths) - lengths, lengths[chosen]
+    return values[np.repeat(begin[chosen] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
 
 
-def _words(block_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For every block a row with its documents as places in its vocabulary (place -1), then its distinct words in order."""
-        number, ids, sizes, tokens, known = 0, [], [], [], {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = list(known)
-            null = np.array([i is None for i in ids], np.uint8)
-            payload = pack([np.array([i or 0 for i in ids], np.int64), null, np.array(sizes, np.int64), np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)])
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([payload], pa.binary())], names=["block", "place", "word", "payload"])
-            for lo in range(0, len(words), 8192):
-                part = words[lo : lo + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int32()), pa.array(range(lo, lo + len(part)), pa.int32()), pa.array(part, pa.string()), pa.nulls(len(part), pa.binary())], names=["block", "place", "word", "payload"])
+def _pack_units(units: list[bytes]) -> list[np.ndarray]:
+    return [np.array([len(u) for u in units], np.uint32), np.frombuffer(b"".join(units), np.uint8)]
+
+
+def _unpack_units(sizes: np.ndarray, raw: np.ndarray) -> list[bytes]:
+    raw, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+_BLOCK = "block long, n_units long, units binary, documents binary"
 
+
+def _blocks(model, block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For every block its distinct units by hash, and its documents as places in order of appearance."""
+        own = model.value
+        ids, sizes, tokens = [], [], []
+        words: dict[str, int] = {}
+        places: dict[str, int] = {}
+        parts, lengths = [], []
         count = 0
+
+        def flush() -> pa.RecordBatch:
+            units = [u.encode("utf-8", "surrogatepass") for u in places]
+            hashed = [zlib.crc32(u) for u in units]
+            order = sorted(range(len(units)), key=lambda i: (hashed[i], units[i]))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            of_word, n_of = np.array(parts, np.uint32), np.array(lengths, np.int64)
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            n_units = np.bincount(owner, weights=n_of[flat], minlength=len(sizes)).astype(np.int64)
+            documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n_units, rank, _ragged(of_word, n_of, flat)]
+            row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [pack(_pack_units([units[i] for i in order]))], [pack(documents)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "n_units", "units", "documents"])
+
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                words = words_of(text.as_py())
-                tokens.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
+                found = own.words(text.as_py())
+                for w in set(found).difference(words):
+                    words[w] = len(words)
+                    cut = own.units(w)
+                    parts.extend([places.setdefault(u, len(places)) for u in cut])
+                    lengths.append(len(cut))
+                tokens.append(np.array(list(map(words.__getitem__, found)), np.int64))
                 ids.append(doc_id)
-                sizes.append(len(words))
-                count += len(words) + 1
+                sizes.append(len(found))
+                count += len(found) + 1
                 if count >= block_words:
-                    yield from flush()
-                    number, ids, sizes, tokens, known, count = number + 1, [], [], [], {}, 0
+                    yield flush()
+                    for held in (ids, sizes, tokens, words, places, parts, lengths):
+                        held.clear()
+                    count = 0
         if ids:
-            yield from flush()
+            yield flush()
 
     return run
 
 
-def edges_of(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """Each word's edges as rows: where a substring starts, its length, and the piece's id and score.
+_REQUEST = "bucket int, block long, payload binary"
+
+
+def _requests(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's units, in order of their hashes, to the buckets that have any."""
+        for batch in batches:
+            for block, packed in zip(batch["block"].to_pylist(), batch["units"], strict=True):
+                units = _unpack_units(*unpack(packed.as_py()))
+                bucket = np.array([zlib.crc32(u) for u in units], np.int64) >> (32 - bits)
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                rows = [pack(_pack_units(units[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(units)])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([block] * len(first), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "block", "payload"])
+
+    return run
+
+
+_UNITS = "bucket int, place int, unit string, payload binary"
+
+
+def _distinct(rows):
+    """Of a bucket: a row with every block's units as places (place -1), then the distinct units in order."""
+    import pandas as pd
 
-    A character without a piece has the negative number of its bytes as its id
-    and no score. Other columns, and words' order, stay; a null or too long word
-    keeps one row without an edge.
+    places: dict[bytes, int] = {}
+    asked = [[places.setdefault(u, len(places)) for u in _unpack_units(*unpack(x))] for x in rows["payload"]]
+    payload = pack([rows["block"].to_numpy(np.int64), np.array([len(x) for x in asked], np.int64), np.array([i for x in asked for i in x], np.uint32)])
+    n = len(places)
+    return pd.DataFrame({"bucket": np.full(n + 1, rows["bucket"].iloc[0]), "place": np.arange(-1, n), "unit": [None, *(u.decode("utf-8", "surrogatepass") for u in places)], "payload": [payload] + [None] * n})
+
+
+def edges_of(units: DataFrame, pieces: DataFrame, longest: int, unknown_score: float) -> DataFrame:
+    """Each unit's edges as rows: where a substring starts, its length, and the piece's id and score.
+
+    A character without a piece has the number of its bytes, its bits turned, as its id.
+    The unit itself stays in its first row only; a row without one stays as it is.
     """
-    chars = F.length("word")
-    short = F.when(chars <= LONGEST_WORD, F.sequence(F.lit(0), chars - 1))
-    starts = words.withColumn("start", F.explode_outer(short))
-    sizes = F.when(F.col("start").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(longest), chars - F.col("start"))))
-    cut = starts.withColumn("size", F.explode_outer(sizes)).withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
+    chars = F.length("unit")
+    starts = units.withColumn("start", F.explode_outer(F.sequence(F.lit(0), chars - 1)))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), chars - F.col("start")))
+    cut = starts.withColumn("size", F.explode_outer(sizes)).withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
     met = cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1 or size is null")
-    number = F.when(F.col("size").isNotNull(), -F.conv(F.hex(F.encode("piece", "UTF-8")), 16, 10).cast("long"))
-    return met.withColumn("id", F.coalesce("id", number)).select("block", "place", F.when(F.col("start").isNull() | ((F.col("start") == 0) & (F.col("size") == 1)), F.col("word")).alias("word"), "payload", "start", "size", "id", "score")
+    number = F.when(F.col("size").isNotNull(), -1 - F.conv(F.hex(F.encode("piece", "UTF-8")), 16, 10).cast("long"))
+    first = F.when((F.col("start") == 0) & (F.col("size") == 1), chars)
+    return met.select("bucket", "place", first.alias("chars"), "payload", "start", "size", F.coalesce("id", number).alias("id"), F.coalesce("score", F.lit(unknown_score)).alias("score"))
 
 
-_LATTICE = "block int, place int, word string, payload binary, edges array<struct<ends: bigint, inner: bigint, id: bigint, score: double>>"
+#: ``firsts``: where the edges that end after each character begin (from 1), and one more.
+_LATTICE = "bucket int, place int, payload binary, chars int, firsts array<int>, edges array<struct<start: int, id: bigint, score: double>>"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a word with its edges, by descending score, then from left to right. Edges come word by word."""
-    edge = pa.struct([("ends", pa.int64()), ("inner", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    """One row a unit with its edges by their ends. Edges come unit by unit; that none is missing is checked."""
+    edge = pa.struct([("start", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
 
     def group(table: pa.Table) -> pa.RecordBatch:
-        block, place = table["block"].to_numpy(), table["place"].to_numpy()
-        first = np.flatnonzero(np.concatenate(([True], (np.diff(block) != 0) | (np.diff(place) != 0))))
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(block))))
+        bucket, place = table["bucket"].to_numpy(), table["place"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(bucket) != 0) | (np.diff(place) != 0))))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(bucket))))
         there = table["start"].is_valid().to_numpy()
-        start = table["start"].fill_null(0).to_numpy().astype(np.int64)[there]
-        size = table["size"].fill_null(0).to_numpy().astype(np.int64)[there]
-        score = table["score"].fill_null(-1e18).to_numpy()[there]
-        ids = table["id"].fill_null(0).to_numpy()[there]
-        order = np.lexsort((start, -score, of[there]))
-        start, size = start[order], size[order]
-        ends = (1 << start) | (1 << (start + size))
-        inner = (1 << (start + size)) - (1 << (start + 1))
-        made = pa.StructArray.from_arrays([pa.array(ends), pa.array(inner), pa.array(ids[order]), pa.array(score[order])], fields=list(edge))
-        offsets = np.concatenate(([0], np.cumsum(np.bincount(of[there], minlength=len(first))))).astype(np.int32)
-        at = pa.array(first)
-        return pa.RecordBatch.from_arrays([*(table[n].take(at).combine_chunks() for n in ("block", "place", "word", "payload")), pa.ListArray.from_arrays(pa.array(offsets), made)], names=["block", "place", "word", "payload", "edges"])
-
-    held: pa.Table | None = None
+        start = table["start"].fill_null(0).to_numpy().astype(np.int32)[there]
+        size = table["size"].fill_null(0).to_numpy().astype(np.int32)[there]
+        owner = of[there]
+        chars = table["chars"].take(pa.array(first)).fill_null(0).to_numpy().astype(np.int64)
+        alone = np.bincount(owner[size == 1], minlength=len(first))
+        if (alone != chars).any() or ((place[first] >= 0) & (chars == 0)).any():
+            raise RuntimeError("the edges of a unit did not come together")
+        order = np.lexsort((start, start + size, owner))
+        made = pa.StructArray.from_arrays([pa.array(start[order]), pa.array(table["id"].fill_null(0).to_numpy()[there][order]), pa.array(table["score"].fill_null(0).to_numpy()[there][order])], fields=list(edge))
+        per_unit = np.bincount(owner, minlength=len(first))
+        # How many edges end after each character of each unit, and where they begin within their unit.
+        base = np.cumsum(chars) - chars
+        ending = np.bincount(base[owner] + start + size - 1, minlength=int(chars.sum()))
+        within = np.cumsum(ending) - np.repeat(np.cumsum(per_unit) - per_unit, chars)
+        n_firsts = chars + (chars > 0)
+        firsts = np.ones(int(n_firsts.sum()), np.int32)
+        at = np.ones(len(firsts), bool)
+        at[(np.cumsum(n_firsts) - n_firsts)[chars > 0]] = False
+        firsts[at] = within + 1
+        offsets = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [*(table[n].take(pa.array(first)).combine_chunks() for n in ("bucket", "place", "payload")), pa.array(chars.astype(np.int32)), pa.ListArray.from_arrays(offsets(n_firsts), pa.array(firsts)), pa.ListArray.from_arrays(offsets(per_unit), made)],
+            names=["bucket", "place", "payload", "chars", "firsts", "edges"],
+        )
+
+    held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        # The last word may go on in the next batch.
-        block, place = table["block"].to_numpy(), table["place"].to_numpy()
-        last = int(np.flatnonzero((block != block[-1]) | (place != place[-1]))[-1]) + 1 if (block[0], place[0]) != (block[-1], place[-1]) else 0
-        if last:
-            yield group(table.slice(0, last).combine_chunks())
-        held = table.slice(last)
-    if held is not None and held.num_rows:
-        yield group(held.combine_chunks())
-
-
-#: The boundaries left after all merges, as bits. An edge can merge if its ends are boundaries and exactly one is between them.
-_MERGES = """
-if(size(edges) = 0, 0L, aggregate(
-  sequence(1, greatest(length(word), 1)),
-  shiftleft(1L, length(word) + 1) - 1L,
-  (bits, step) -> bits & ~aggregate(
-    edges, 0L,
-    (gone, e) -> if(gone = 0L and (bits & e.ends) = e.ends and bit_count(bits & e.inner) = 1, bits & e.inner, gone))))
-"""
-#: For every position the best sum of scores of a path to it and its boundaries; a character without a piece costs more than any path.
-_VITERBI = """
-if(size(edges) = 0, 0L, element_at(aggregate(
-  sequence(1, length(word)),
-  array(named_struct('sum', 0D, 'bits', 1L)),
+        # The last unit may go on in the next batch.
+        bucket, place = batch["bucket"].to_numpy(), batch["place"].to_numpy()
+        other = np.flatnonzero((bucket != bucket[-1]) | (place != place[-1]))
+        if held and not len(other) and (held[-1]["bucket"][0].as_py(), held[-1]["place"][0].as_py()) == (bucket[0], place[0]) and held[-1]["place"][-1].as_py() == place[0]:
+            held.append(pa.Table.from_batches([batch]))
+            continue
+        last = int(other[-1]) + 1 if len(other) else 0
+        whole = pa.concat_tables([*held, pa.Table.from_batches([batch.slice(0, last)])]).combine_chunks()
+        if whole.num_rows:
+            yield group(whole)
+        held = [pa.Table.from_batches([batch.slice(last)])]
+    if held:
+        yield group(pa.concat_tables(held).combine_chunks())
+
+
+#: For every position the best sum of a path to it, and the edge that it ends with; of equal sums the longest edge's.
+_BEST = """
+aggregate(
+  sequence(1, chars),
+  array(named_struct('sum', 0D, 'start', 0, 'id', 0L)),
   (best, at) -> concat(best, array(aggregate(
-    filter(edges, e -> shiftrightunsigned(e.ends, at) = 1L),
-    named_struct('sum', double('-infinity'), 'bits', 0L),
-    (top, e) -> if(
-      best[cast(round(log2(e.ends - shiftleft(1L, at))) as int)].sum + greatest(e.score, -1e9D) > top.sum,
-      named_struct('sum', best[cast(round(log2(e.ends - shiftleft(1L, at))) as int)].sum + greatest(e.score, -1e9D), 'bits', best[cast(round(log2(e.ends - shiftleft(1L, at))) as int)].bits | shiftleft(1L, at)),
-      top))))), -1).bits)
+    slice(edges, firsts[at - 1], firsts[at] - firsts[at - 1]),
+    named_struct('sum', double('-infinity'), 'start', 0, 'id', 0L),
+    (top, e) -> if(best[e.start].sum + e.score > top.sum, named_struct('sum', best[e.start].sum + e.score, 'start', e.start, 'id', e.id), top)))))
+"""
+#: From the last position back to the first.
+_PATH = """
+aggregate(
+  sequence(1, chars),
+  named_struct('at', chars, 'ids', cast(array() as array<bigint>)),
+  (path, step) -> if(path.at = 0, path, named_struct('at', best[path.at].start, 'ids', array_append(path.ids, best[path.at].id))),
+  path -> reverse(path.ids))
 """
-FOLDS = {"merges": _MERGES, "viterbi": _VITERBI}
 
 
-def folded(lattice: DataFrame, fold: str) -> DataFrame:
-    """Each word's ids along its path, by the fold's boundaries."""
-    bits = lattice.withColumn("_bits", F.expr(FOLDS[fold]))
-    path = F.expr("transform(array_sort(transform(filter(edges, e -> (_bits & e.ends) = e.ends and (_bits & e.inner) = 0L), e -> named_struct('ends', e.ends, 'id', e.id))), x -> x.id)")
-    return bits.select("block", "place", F.when(F.size("edges") == 0, F.col("word")).alias("word"), "payload", path.alias("ids"))
+def folded(lattice: DataFrame) -> DataFrame:
+    """Each unit's ids along the path with the largest sum."""
+    best = lattice.select("bucket", "place", "payload", "chars", F.when(F.col("chars") > 0, F.expr(_BEST)).alias("best"))
+    return best.select("bucket", "place", "payload", F.when(F.col("chars") > 0, F.expr(_PATH)).alias("ids"))
+
+
+_ANSWER = "block long, bucket int, payload binary"
 
 
-def _documents(model):
+def _answers(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's ids from its block's words' ids."""
+        """To each block the ids of the units it sent, in its order. A bucket's first row says what was sent."""
         own = model.value
-        library = []
-
-        def whole(word: str) -> list[int]:
-            if not library:
-                from sentencepiece import SentencePieceProcessor
-
-                library.append(SentencePieceProcessor(model_file=own.path))
-            # The library puts one blank before a text.
-            return library[0].encode(word[1:].replace(" ", BLANK))
-
-        payload, values, lengths = None, [], []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            ids, null, sizes, tokens = unpack(payload)
-            length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            begin = np.cumsum(length) - length
-            at = 0
-            for lo in range(0, len(ids), 512):
-                n = sizes[lo : lo + 512]
-                part = tokens[at : at + int(n.sum())].astype(np.int64)
-                at += len(part)
-                each = length[part]
-                where = np.repeat(begin[part] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                owner = np.repeat(np.arange(len(n)), n)
-                per_doc = np.bincount(owner, weights=each, minlength=len(n)).astype(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(per_doc))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 512], mask=null[lo : lo + 512].astype(bool)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[where].astype(np.int32)))], names=["doc_id", "ids"])
+        asked, bucket, values, lengths = None, None, [], []
+
+        def finish() -> pa.RecordBatch:
+            blocks, sizes, places = unpack(asked)
+            flat, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (values, lengths))
+            rows = []
+            for part in np.split(places.astype(np.int64), np.cumsum(sizes)[:-1]):
+                rows.append(pack([length[part].astype(np.uint32), _ragged(flat, length, part).astype(np.int32)]))
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "payload"])
 
         for batch in batches:
             edge = [i for i, p in enumerate(batch["place"].to_pylist()) if p == -1]
@@ -244,25 +317,44 @@ def _documents(model):
                 if not part.num_rows:
                     continue
                 if part["place"][0].as_py() == -1:
-                    if payload is not None:
-                        yield from finish()
-                    payload, values, lengths = part["payload"][0].as_py(), [], []
+                    if asked is not None:
+                        yield finish()
+                    asked, bucket, values, lengths = part["payload"][0].as_py(), part["bucket"][0].as_py(), [], []
                     part = part.slice(1)
-                flat = part["ids"].flatten().to_numpy()
-                length = part["ids"].value_lengths().to_numpy()
-                odd = part["word"].is_valid().to_pylist()
-                if any(odd) or (flat < 0).any():
-                    lists = [whole(w) if w is not None else [y for x in i for y in (own.of_bytes(-x) if x < 0 else [x])] for w, i in zip(part["word"].to_pylist(), part["ids"].to_pylist(), strict=True)]
+                flat, length = part["ids"].flatten().to_numpy(zero_copy_only=False), part["ids"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if (flat < 0).any():
+                    lists = [[y for x in i for y in (own.of_bytes(~x) if x < 0 else [x])] for i in part["ids"].to_pylist()]
                     length = np.array([len(x) for x in lists], np.int64)
                     flat = np.array([y for x in lists for y in x], np.int64)
-                values.append(flat.astype(np.int32))
-                lengths.append(length.astype(np.int64))
-        if payload is not None:
-            yield from finish()
+                values.append(flat.astype(np.int64))
+                lengths.append(length)
+        if asked is not None:
+            yield finish()
 
     return run
 
 
+def _of_block(blocks, answers) -> tuple:
+    """A block's document ids (and which are null), units of each, all units' places, and every unit's ids as one array with lengths, by place."""
+    ids, null, sizes, rank, tokens = unpack(blocks["documents"].iloc[0])
+    parts = [unpack(x) for x in answers.sort_values("bucket")["payload"]]
+    length = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+    flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
+    if len(length) != len(rank):
+        raise RuntimeError("a block's units did not all come back")
+    rank = rank.astype(np.int64)
+    return ids, null.astype(bool), sizes, tokens.astype(np.int64), _ragged(flat, length, rank), length[rank]
+
+
+def _ids_of(key, blocks, answers):
+    import pandas as pd
+
+    ids, null, sizes, tokens, flat, length = _of_block(blocks, answers)
+    every = _ragged(flat, length, tokens)
+    per_doc = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=length[tokens], minlength=len(sizes)).astype(np.int64)
+    return pd.DataFrame({"doc_id": pd.array(np.where(null, None, ids), dtype="Int64"), "ids": np.split(every, np.cumsum(per_doc)[:-1])})
+
+
 def _model(path: str | None) -> Model:
     if path is None:
         import public_tokenizers
@@ -271,16 +363,22 @@ def _model(path: str | None) -> Model:
     return Model(path)
 
 
-def _paths(docs: DataFrame, model: Model, fold: str, block_words: int) -> DataFrame:
-    """Blocks of documents, each followed by its words' ids."""
-    words = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_words(block_words), _WORDS)
-    return folded(edges_of(words, model.table(docs.sparkSession), model.longest).mapInArrow(_grouped, _LATTICE), fold)
+def _paths(docs: DataFrame, model: Model, shared: Shared, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of documents, and the answers to them: their units' ids."""
+    blocks = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(shared, block_words), _BLOCK))
+    buckets = 1 << ((blocks.agg(F.sum("n_units")).first()[0] or 0) // BUCKET_UNITS).bit_length()
+    asked = blocks.where("n_units > 0").select("block", "units").mapInArrow(_requests(buckets.bit_length() - 1), _REQUEST)
+    # A bucket is small to move and much to work on, so partitions are not merged by size.
+    units = asked.repartition(-(-buckets // TOGETHER), "bucket").groupBy("bucket").applyInPandas(_distinct, _UNITS)
+    lattice = edges_of(units, model.table(docs.sparkSession), model.longest, model.unknown_score).mapInArrow(_grouped, _LATTICE)
+    return blocks, folded(lattice).mapInArrow(_answers(shared), _ANSWER)
 
 
-def encoded(docs: DataFrame, path: str | None = None, fold: str = "merges", block_words: int = BLOCK_WORDS) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id and ids of every document."""
     model = _model(path)
-    return _paths(docs, model, fold, block_words).mapInArrow(_documents(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, ids array<int>")
+    blocks, answers = _paths(docs, model, Shared(docs.sparkSession, model), block_words)
+    return blocks.select("block", "documents").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_ids_of, "doc_id long, ids array<int>")
 
 
 def _decode(model):
@@ -296,21 +394,35 @@ def _decode(model):
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and the text that the ids stand for."""
-    model = rows.sparkSession.sparkContext.broadcast(_model(path))
-    return rows.select("doc_id", "ids").mapInArrow(_decode(model), "doc_id long, ids array<int>, text string")
+    return rows.select("doc_id", "ids").mapInArrow(_decode(Shared(rows.sparkSession, _model(path))), "doc_id long, ids array<int>, text string")
 
 
 _DIGEST = "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, decoded_sha256 string"
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [np.array(x, dtype="<u4").tobytes() for x in batch["ids"].to_pylist()]
-        texts = batch["text"].to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])],
-            names=[x.split()[0] for x in _DIGEST.split(", ")],
-        )
+def _digest(model):
+    def run(key, blocks, answers):
+        """A text's pieces are its units', and so is the text that they stand for."""
+        import pandas as pd
+
+        ids, null, sizes, tokens, flat, length = _of_block(blocks, answers)
+        raw, each = model.value.raw, flat.tolist()
+        ends = np.cumsum(length).tolist()
+        of_unit = [b"".join([raw[i] for i in each[a:b]]) for a, b in zip([0, *ends], ends)]
+        chars = np.array([len(x.decode("utf-8", "replace")) for x in of_unit], np.int64)
+        flat = flat.astype("<u4")
+        rows, at = [], 0
+        for n in sizes.tolist():
+            part = tokens[at : at + n]
+            at += n
+            own = _ragged(flat, length, part)
+            text = b"".join(map(of_unit.__getitem__, part.tolist()))[1:]
+            rows.append((len(own), zlib.crc32(own.tobytes()), int(chars[part].sum()) - (n > 0), hashlib.sha256(text).hexdigest()))
+        out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_chars", "decoded_sha256"])
+        out.insert(0, "doc_id", pd.array(np.where(null, None, ids), dtype="Int64"))
+        return out
+
+    return run
 
 
 def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -319,6 +431,6 @@ def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     Encoding's last step, decoding and the digest run in one Python task.
     """
     model = _model(path)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    ids, texts = _documents(shared), _decode(shared)
-    return _paths(docs, model, "merges", BLOCK_WORDS).mapInArrow(lambda batches: _digest(texts(ids(batches))), _DIGEST)
+    shared = Shared(docs.sparkSession, model)
+    blocks, answers = _paths(docs, model, shared, BLOCK_WORDS)
+    return blocks.select("block", "documents").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_digest(shared), _DIGEST)

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -425,38 +426,94 @@ def test_search_finds_all_within_the_radius(spark, radius):
 # 7. Pieces
 
 
-def test_pieces(spark, awkward, empty):
-    import sentencepiece
+def protobuf(field, value):
+    """A field of a message: text, bytes, a float, or a whole number."""
+    if isinstance(value, float):
+        return bytes([field << 3 | 5]) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return bytes([field << 3]) + bytes([value])
+    value = value.encode() if isinstance(value, str) else value
+    size, n = b"", len(value)
+    while n > 127:
+        size, n = size + bytes([n & 127 | 128]), n >> 7
+    return bytes([field << 3 | 2]) + size + bytes([n]) + value
 
-    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    more = [(20, "a  b\nc   d ", None), (21, "   ", None), (22, "▁y▁▁z", None), (23, "b" * 59 + " " + "b" * 60 + " " + "b" * 61, None)]
-    docs = awkward.union(frame(spark, more))
-    for blocks in (20, 10**6):
-        rows = sentencepieces.decoded(sentencepieces.encoded(docs, block_words=blocks)).collect()
-        expected = Counter((i, tuple(library.encode(t or "")), (t or "").replace("▁", " ")) for i, t, _ in AWKWARD + more)
-        assert Counter((r.doc_id, tuple(r.ids), r.text) for r in rows) == expected
-    assert sentencepieces.encoded(empty).count() == 0
-    texts = documents(spark)
-    digests = {r.doc_id: r for r in sentencepieces.piece_digests(texts).collect()}
-    for r in texts.collect():
-        ids = library.encode(r.text)
-        d = digests[r.doc_id]
-        assert (d.n_pieces, d.ids_crc32, d.decoded_sha256) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(r.text.encode()).hexdigest())
-
-
-def test_viterbi_finds_the_best_sum(spark):
+
+def unigram_model(path, pieces, with_bytes=True):
+    """A unigram model file with given pieces and scores, for the library to compare with."""
+    special = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *([(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if with_bytes else [])]
+    body = b"".join(protobuf(1, protobuf(1, p) + protobuf(2, s) + protobuf(3, kind)) for p, s, kind in [*special, *((p, s, 1) for p, s in pieces)])
+    trainer = protobuf(3, 1) + (bytes([35 << 3 & 127 | 128, 35 >> 4, 1]) if with_bytes else b"")
+    normalizer = protobuf(1, "identity") + protobuf(3, 1) + protobuf(4, 0) + protobuf(5, 1)
+    path.write_bytes(body + protobuf(2, trainer) + protobuf(3, normalizer))
+    return str(path)
+
+
+def best_path(model, text):
+    """Brute-force Viterbi over a whole text, without units: the best sum."""
+    score = {p: s for p, _, s in model.pieces}
+    best = [0.0] + [-math.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        for begin in range(max(0, end - model.longest), end):
+            own = score.get(text[begin:end], model.unknown_score if end == begin + 1 else -math.inf)
+            best[end] = max(best[end], best[begin] + own)
+    return best[-1]
+
+
+MORE = [(20, "a  b\nc   d ", None), (21, "   ", None), (22, "▁y▁▁z", None), (23, "b" * 59 + " " + "b" * 60 + " " + "b" * 61, None), (24, "international" * 40, None), (25, "\0 \0\0x", None)]
+
+
+def test_pieces_are_the_best_path(spark, awkward, empty):
     model = sentencepieces._model(None)
     score = {i: s for _, i, s in model.pieces}
-    piece = {p: s for p, _, s in model.pieces}
-    words = sorted({w for r in documents(spark).limit(20).collect() for w in r.text.split(" ") if w and all((" " + w)[i] in piece for i in range(len(w) + 1))})[:200]
-    rows = sentencepieces.encoded(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), fold="viterbi").collect()
-    for r in rows:
-        word = " " + words[r.doc_id]
-        best = [0.0]
-        for end in range(1, len(word) + 1):
-            best.append(max(best[s] + max(-1e9, piece[word[s:end]]) for s in range(max(0, end - model.longest), end) if word[s:end] in piece))
-        assert math.isclose(sum(score[i] for i in r.ids), best[-1], abs_tol=1e-6)
-        assert b"".join(model.raw[i] for i in r.ids).decode() == word
+    docs = awkward.union(frame(spark, MORE))
+    for blocks in (20, 10**6):
+        rows = sentencepieces.decoded(sentencepieces.encoded(docs, block_words=blocks)).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((i, (t or "").replace("▁", " ")) for i, t, _ in AWKWARD + MORE)
+        for r in rows:
+            assert b"".join(model.raw[i] for i in r.ids).decode()[1:] == r.text
+            unknown = sum((" " + r.text).count(c) for c in set(" " + r.text) if r.text and c not in {p for p, _, _ in model.pieces if len(p) == 1})
+            if r.doc_id != 5 and r.text:
+                assert math.isclose(sum(score[i] for i in r.ids if i in score) + unknown * model.unknown_score, best_path(model, " " + r.text), rel_tol=1e-9)
+    assert sentencepieces.encoded(empty).count() == 0 and sentencepieces.piece_digests(empty).count() == 0
+
+
+def test_pieces_are_the_librarys_for_a_unigram_model(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(8)
+    base = [p for p, _, _ in sentencepieces._model(None).pieces]
+    chosen = sorted({p.replace(" ", "▁") for p in base if len(p) == 1 or rng.random() < 0.5})
+    path = unigram_model(tmp_path / "unigram.model", [(p, -rng.uniform(3, 6) - rng.uniform(2, 3) * len(p) ** 0.8) for p in chosen])
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = documents(spark).select("doc_id", "text").union(frame(spark, AWKWARD + MORE).where("doc_id <> 22").select("doc_id", "text"))
+    found = Counter((r.doc_id, tuple(r.ids)) for r in sentencepieces.encoded(docs, path).collect())
+    expected = Counter((r.doc_id, tuple(library.encode(r.text or ""))) for r in docs.collect())
+    # The library adds in single precision: in a long text it may take another path of nearly the same sum.
+    apart, others = sorted((found - expected).elements(), key=str), sorted((expected - found).elements(), key=str)
+    total = lambda ids: math.fsum(library.get_score(i) for i in ids)
+    assert len(apart) <= 0.03 * docs.count()
+    for (i, own), (j, theirs) in zip(apart, others, strict=True):
+        assert i == j and total(theirs) <= total(own) + 1e-6 and math.isclose(total(own), total(theirs), rel_tol=1e-6)
+
+
+def test_piece_digests(spark, awkward):
+    for docs in (documents(spark), awkward.union(frame(spark, MORE))):
+        ids = Counter((r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in sentencepieces.encoded(docs).collect())
+        rows = sentencepieces.piece_digests(docs).collect()
+        assert Counter((r.doc_id, r.n_pieces, r.ids_crc32) for r in rows) == ids
+        texts = [(r.doc_id, (r.text or "").replace("▁", " ")) for r in docs.collect()]
+        assert Counter((r.doc_id, r.decoded_chars, r.decoded_sha256) for r in rows) == Counter((i, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
+
+
+def test_edges_that_do_not_come_together_are_an_error():
+    import pyarrow as pa
+
+    rows = [(0, 0, 2, None, 0, 1, 5, 0.0), (0, 1, 1, None, 0, 1, 5, 0.0), (0, 0, None, None, 1, 1, 5, 0.0)]
+    schema = pa.schema([("bucket", pa.int32()), ("place", pa.int32()), ("chars", pa.int32()), ("payload", pa.binary()), ("start", pa.int32()), ("size", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    with pytest.raises(RuntimeError):
+        list(sentencepieces._grouped(iter([batch])))
 
 
 # 8. Language model
