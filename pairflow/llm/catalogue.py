@@ -49,7 +49,7 @@ def op10_media_columns(spark, sf_dir):
 
 @_query
 def op6_document_fingerprints(spark, sf_dir):
-    return fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.with_neighbours(fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents")))
 
 
 @_query

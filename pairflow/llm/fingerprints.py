@@ -6,8 +6,13 @@ empty texts have the fingerprint zero. Equal texts have equal fingerprints.
 ``fingerprints_with_edits`` also fingerprints each text with its second half
 replaced by the beginning of the next document (by descending id; nulls last,
 ties by the text's hash, after the last row the first). One shuffle deals the rows
-by ranges of that order; the rows that begin a range are known beforehand, since
-ranges begin at sampled rows, and go to the range before as well.
+by ranges of that order, whose number follows the texts' bytes; the rows that begin
+a range are known beforehand, since ranges begin at sampled rows, and go to the
+range before as well. Rows of one id are told apart by their texts' hashes; only
+rows alike in both come to one range.
+
+``within`` finds all fingerprints in a Hamming radius by permuted block tables, and
+``with_neighbours`` counts them for the documents that are asked about.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, together, word_hashes
+from .common import U64, mix, together, word_hashes, written
 
 BITS = 128
 #: A text with no more words than this also votes with its runs of four bytes.
@@ -117,28 +122,48 @@ def within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks:
     if not radius < blocks <= 64:
         raise ValueError("blocks must be more than the radius")
     edges = [BITS * i // blocks for i in range(blocks + 1)]
-    tables = list(combinations(range(blocks), blocks - radius))
-
-    def bits(name):
-        return F.lpad(F.conv(F.hex(F.substring(name, 1, 8)), 16, 2), 64, "0"), F.lpad(F.conv(F.hex(F.substring(name, 9, 8)), 16, 2), 64, "0")
+    masks = [sum((1 << (BITS - edges[i])) - (1 << (BITS - edges[i + 1])) for i in table) for table in combinations(range(blocks), blocks - radius)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def keyed(frame, name):
-        text = F.concat(*bits(name))
-        parts = [F.substring(text, lo + 1, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
-        keys = F.array(*[F.xxhash64(F.lit(t), *[parts[i] for i in table]) for t, table in enumerate(tables)])
-        return frame.select(F.col("fingerprint").alias(name)).distinct().select(name, F.posexplode(keys).alias("table", "key"))
+        halves = frame.select(F.col("fingerprint").alias(name)).distinct().select(name, *[F.conv(F.hex(F.substring(name, lo, 8)), 16, -10).cast("long").alias(f"{name}_{lo}") for lo in (1, 9)])
+        keys = [F.xxhash64(F.lit(t), F.col(f"{name}_1").bitwiseAND(F.lit(signed(m >> 64))), F.col(f"{name}_9").bitwiseAND(F.lit(signed(m & (1 << 64) - 1)))) for t, m in enumerate(masks)]
+        return halves.select(name, f"{name}_1", f"{name}_9", F.posexplode(F.array(*keys)).alias("table", "key"))
 
     a, b = keyed(queries, "query_fingerprint"), keyed(fingerprints, "fingerprint")
-    halves = [(F.conv(F.hex(F.substring(x, lo, 8)), 16, -10).cast("long")) for x in ("query_fingerprint", "fingerprint") for lo in (1, 9)]
-    distance = F.bit_count(halves[0].bitwiseXOR(halves[2])) + F.bit_count(halves[1].bitwiseXOR(halves[3]))
-    met = a.join(b, ["table", "key"]).withColumn("distance", distance).where(F.col("distance") <= radius)
-    return met.select("query_fingerprint", "fingerprint", "distance").distinct()
+    apart = [F.col(f"query_fingerprint_{lo}").bitwiseXOR(F.col(f"fingerprint_{lo}")) for lo in (1, 9)]
+    distance = F.bit_count(apart[0]) + F.bit_count(apart[1])
+    # The first table in which a pair meets: all its blocks are alike there.
+    alike = [(apart[0].bitwiseAND(F.lit(signed(m >> 64))) == 0) & (apart[1].bitwiseAND(F.lit(signed(m & (1 << 64) - 1))) == 0) for m in masks]
+    first = F.coalesce(*[F.when(x, t) for t, x in enumerate(alike)])
+    met = a.join(b, (a["table"] == b["table"]) & (a["key"] == b["key"]) & (distance <= radius) & (a["table"] == first))
+    return met.select("query_fingerprint", "fingerprint", distance.cast("int").alias("distance"))
+
+
+#: Of the registered query: the radius, and which documents ask for their neighbours.
+RADIUS, EVERY = 3, 50
+
+
+def with_neighbours(marked: DataFrame, radius: int = RADIUS, every: int = EVERY) -> DataFrame:
+    """The rows (doc_id, fingerprint in hexadecimal, more) with ``near_fingerprints``: for ids divisible by ``every``, how many other distinct fingerprints of all rows are within the radius; null for the rest."""
+    marked = written(marked)
+    # A document without terms has no neighbours to look for.
+    prints = marked.where(F.col("fingerprint") != "0" * (BITS // 4)).select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+    found = within(prints.where(F.col("doc_id") % every == 0).select("fingerprint"), prints.select("fingerprint"), radius)
+    counted = found.where("distance > 0").groupBy("query_fingerprint").agg(F.count(F.lit(1)).alias("n")).select(F.lower(F.hex("query_fingerprint")).alias("asked"), "n")
+    asks = F.col("doc_id") % every == 0
+    rows = marked.withColumn("asked", F.when(asks, F.col("fingerprint")))
+    # The rest have a null to join on, and meet nothing.
+    some = rows.where("asked is not null").join(counted, "asked", "left").withColumn("near_fingerprints", F.coalesce("n", F.lit(0).cast("long"))).drop("asked", "n")
+    return some.unionAll(rows.where("asked is null").drop("asked").withColumn("near_fingerprints", F.lit(None).cast("long")))
 
 
 # Edited texts
 
-#: Rows sampled to place a range's beginning.
-_PER_RANGE = 40
+#: Bytes of text in a range, about; there are as many ranges as shuffle partitions at least.
+RANGE_BYTES = 128 << 20
+#: Rows sampled to place a range's beginning; fewer where all ranges' would be more than the driver should hold.
+_PER_RANGE, _SAMPLED = 40, 2_000_000
 _DEALT = "range int, tail boolean, doc_id long, tie long, text string, fingerprint binary"
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -225,11 +250,15 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     """The rows of ``EDITED``: for each document its fingerprint and its edited text's, and how alike they and the next document's are."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    every = max(1, rows.count() // (ranges * _PER_RANGE))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "tie")).alias("first")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], EDITED)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // RANGE_BYTES))
+    every = max(1, size["n"] // (ranges * max(2, min(_PER_RANGE, _SAMPLED // ranges))))
     order = [F.desc_nulls_last("doc_id"), F.asc("tie")]
     sample = rows.select("doc_id", "tie").where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(every)) == 0).distinct().collect()
-    begin = rows.select("doc_id", "tie").orderBy(*order).limit(1).collect()
+    null, minus, tie = size["first"]
+    begin = [(None if null else -minus, tie)]
     places = sorted(set(_place([r[0] for r in sample], [r[1] for r in sample])))
     begins = sorted({*_place([r[0] for r in begin], [r[1] for r in begin]), *(places[len(places) * i // ranges] for i in range(1, ranges) if places)})
     dealt = rows.mapInArrow(_deal(begins), _DEALT).repartitionById(len(begins) or 1, F.col("range"))

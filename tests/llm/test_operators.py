@@ -423,6 +423,23 @@ def test_search_finds_all_within_the_radius(spark, radius):
     assert found == {(a, b, (a ^ b).bit_count()) for a in base[:6] for b in every if (a ^ b).bit_count() <= radius}
 
 
+def test_query_counts_all_neighbours(spark, awkward, empty):
+    """The query's column against all pairs of distinct fingerprints."""
+    plain = catalogue.QUERIES["op6_document_fingerprints"](spark, "/root/testdata/sf0.01").collect()
+    prints = {int(r.fingerprint, 16) for r in plain if int(r.fingerprint, 16)}
+    asking = [r for r in plain if r.doc_id % 50 == 0]
+    assert [r.near_fingerprints for r in asking] == [sum(0 < (int(r.fingerprint, 16) ^ x).bit_count() <= 3 for x in prints) if int(r.fingerprint, 16) else 0 for r in asking]
+    assert all(r.near_fingerprints is None for r in plain if r.doc_id % 50) and len(plain) == documents(spark, "sf0.01").count()
+    marked = fingerprints.fingerprints_with_edits(awkward)
+    assert fingerprints.with_neighbours(marked).count() == len(AWKWARD) and fingerprints.with_neighbours(fingerprints.fingerprints_with_edits(empty)).count() == 0
+    copies = [("a b c d e f g h i j k l m n o p q r s t u v w x y z " * 9 + f"{i}", i) for i in range(40)]
+    near = fingerprints.with_neighbours(fingerprints.fingerprints_with_edits(spark.createDataFrame([(i * 25, t) for t, i in copies], "doc_id long, text string")), radius=8).collect()
+    marks = [int(r.fingerprint, 16) for r in near]
+    for r in near:
+        if r.doc_id % 50 == 0:
+            assert r.near_fingerprints == sum(0 < (int(r.fingerprint, 16) ^ x).bit_count() <= 8 for x in set(marks)) > 0
+
+
 # 7. Pieces
 
 
