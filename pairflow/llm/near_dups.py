@@ -71,6 +71,8 @@ STAGE = Contract(80, 64, 16, 31)
 CLASS_WIDTH = 1 / 64
 #: As many links (some 30 bytes each) are joined up into components in one task.
 ONE_TASK = 200_000
+#: Keys that several nodes have are broadcast up to this many (16 bytes each); beyond, the join shuffles.
+BROADCAST_KEYS = 1_000_000
 #: Ids of documents whose full sets are needed are broadcast up to this many; beyond, a shuffle brings the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -277,8 +279,10 @@ def _links(nodes: DataFrame, docs: DataFrame, contract: Contract) -> DataFrame |
     # Sets this small are only linked if they are equal.
     able = nodes.where((F.col("n") + 1) * least <= F.col("n") * PER)
     keys = _keys(able, contract)
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
-    members = written(keys.join(shared, "key").select("key", "node", "size"))
+    # A node has each of its keys once. Numbers are counted in a hash map; anything of the nodes would be sorted.
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    # Most keys are a single node's: where the others are few, their nodes are found without a shuffle of all keys.
+    members = written(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "key").select("key", "node", "size"))
     central = members.groupBy("node").agg(F.struct(F.sum("size").alias("weight"), F.col("node").alias("id")).alias("central"))
     members = written(members.join(central, "node"))
     leaders = members.groupBy("key").agg(F.max("central").alias("leader")).select("key", F.col("leader.id").alias("leader"))

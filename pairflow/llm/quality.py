@@ -131,10 +131,13 @@ def _forward(p: dict, x: np.ndarray, counts: np.ndarray) -> dict:
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> AttentionScorer:
     rng = np.random.default_rng(seed)
-    x, counts = features(texts or [""])
+    parts = [features(texts[s]) for s in together(pa.array(texts, pa.string()))] or [features([""])]
+    x, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    del parts
     y = np.array(labels, dtype=np.float32)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
     first = np.cumsum(counts) - counts
     p = {"w": rng.normal(0, FEATURES**-0.5, (FEATURES, ENCODED)), "b": np.zeros(ENCODED), "v": rng.normal(0, ENCODED**-0.5, (ENCODED, ATTENTION)), "u": rng.normal(0, ENCODED**-0.5, (ENCODED, ATTENTION)), "a": rng.normal(0, 0.3, ATTENTION), "c": rng.normal(0, 0.3, ENCODED), "d": np.zeros(1)}
     p = {k: v.astype(np.float32) for k, v in p.items()}

@@ -183,8 +183,7 @@ def apart(size, words, most, seed):
     return rows
 
 
-@pytest.mark.parametrize(("size", "words", "most"), [(250, 150, 5), (150, 60, 2), (120, 400, 14)])
-@pytest.mark.parametrize("contract", [near_dups.QUERY, near_dups.STAGE])
+@pytest.mark.parametrize(("size", "words", "most", "contract"), [(250, 150, 5, near_dups.QUERY), (120, 400, 14, near_dups.STAGE)])
 def test_copies_edited_apart(spark, size, words, most, contract):
     """Many nodes outside their hub's component: what the prefix filter leaves must still be every link."""
     rows = apart(size, words, most, size)
