@@ -327,15 +327,61 @@ def test_extraction(spark):
     assert extraction.extracted(pages.limit(0)).count() == 0
 
 
+def bare(items):
+    return [(x[0], x[1]) for x in items]
+
+
 def test_wrappers_are_union_free():
     once = extraction.skeleton("<article><h1>a</h1><p>b</p><p>c</p></article>")
     other = extraction.skeleton("<article><p>b</p><footer>f</footer></article>")
     both = extraction.merged(once, other)
-    assert both == extraction.merged(both, once) or extraction.main_slots(both) == extraction.main_slots(extraction.merged(both, once))
+    assert extraction.plan_of(both, 1) == extraction.plan_of(extraction.merged(both, once), 1)
     article = both[0]
-    assert article[0] == "article^^" and [(x[0], x[1]) for x in article[2]] == [("h1", "?"), ("p", "+"), ("footer!", "?")]
+    assert article[0] == "article^^" and bare(article[2]) == [("h1", "?"), ("p", "+"), ("footer!", "?")]
     terms = extraction.skeleton("<dl>" + "<dt>t</dt><dd>d</dd>" * 5 + "</dl>")
-    assert terms[0][2][0][0] == "(dt dd)" and terms[0][2][0][1] == "+" and len(terms[0][2]) == 1
+    assert bare(terms[0][2]) == [("(dt dd)", "+")] and terms[0][2][0][2][1][2][0][4] == 5
+    a, b = (extraction.skeleton(f"<div>Same<hr>{x}</div>") for x in ("one", "three"))
+    slots = extraction.merged(a, b)[0][2]
+    assert bare(slots) == [("#", "+")] or [x[3] for x in slots] == [extraction._digest("Same"), ""]
+
+
+def host_pages(n, host, article=False):
+    """Pages of a host whose template has no telling name: the same line above and below, a short box that varies, and the text."""
+    rng = random.Random(host)
+    for i in range(n):
+        text = [" ".join(f"{host}w{rng.randrange(500)}" for _ in range(40)) for _ in range(2 + i % 3)]
+        tag = "article" if article else "div"
+        yield f"http://{host}.com/{i}", f"<body><div class=xa><b>Welcome</b> to our place</div><div class=xb><p>box {i}</p></div><{tag} class=xc><h2>Title {i}</h2>{''.join(f'<p>{t}</p>' for t in text)}<div>Read on elsewhere</div></{tag}><div class=xd>All rights are ours</div></body>", " ".join([f"Title {i}", *text])
+
+
+@pytest.mark.parametrize("article", [False, True])
+def test_the_alignment_decides(spark, article):
+    """Without telling names only the host's other pages show what is template: alone, a page keeps it."""
+    rows = [*host_pages(12, "many", article), *host_pages(3, "few", article)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in extraction.extracted(pages).collect()}
+    for i, (_, html, text) in enumerate(rows):
+        alone = extraction.extract(html, extraction.plan_of(extraction.skeleton(html), 1))
+        assert alone.endswith("Read on elsewhere" if article else "All rights are ours") and (article or alone.startswith("Welcome to our place box"))
+        assert found[i] == (text if i < 12 else alone)
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    """Near copies differ in little: what they share is more than a template."""
+    _, html, _ = next(host_pages(1, "copied"))
+    rows = [(i, "http://copied.com/", html.replace("Title 0", f"Title {i % 8}")) for i in range(20)]
+    found = extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("Welcome" in r.text and f"Title {r.page_id % 8}" in r.text and r.n_chars > 400 for r in found)
+
+
+def test_extraction_of_long_and_deep_pages(spark):
+    deep = "<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after</p></article><p>out</p>"
+    wide = "<article>" + "".join(f"<p>p{i}</p><h{1 + i % 5}>h</h{1 + i % 5}>" + "<ul><li>x</ul>" * (i % 7 == 0) for i in range(20_000)) + "</article>"
+    other = wide.replace("<h2>h</h2>", "<blockquote>q</blockquote>", 3000)
+    rows = [(1, "http://a/", deep), (2, "http://b/", wide), (3, "http://b/", other), (4, "http://c/", "<p>" * 20_000 + "x"), (5, "http://d/", "word " * 200_000), (6, "http://e/", "</div>" * 9000 + "<a" * 9000)]
+    found = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == "deep after" and found[2].split()[:3] == ["p0", "h", "x"] and len(found[2].split()) == 20_000 * 2 + 2858 and found[4] == "x" and len(found[5]) == 999_999
+    assert found[3].count("q") == 3000
 
 
 def test_extraction_of_pages(spark):
