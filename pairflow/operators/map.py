@@ -51,13 +51,10 @@ def map_python(frame: DataFrame, block: Callable, schema: T.StructType, before:
     return frame.mapInArrow(run, schema)
 
 
-def with_hook(frame: DataFrame, before: Callable | None) -> DataFrame:
-    """The same rows; ``before`` runs at the start of every task."""
-    if not before:
-        return frame
+def hooked(before: Callable | None) -> None:
+    """For steps without Python in their tasks: ``before`` runs where the block does, on the driver, once, when the step is compiled.
 
-    def run(batches):
+    Python blocks run it at the start of every task themselves.
+    """
+    if before:
         before()
-        yield from batches
-
-    return frame.mapInArrow(run, frame.schema)

@@ -2,17 +2,21 @@
 
 A key with one value keeps it untouched. There are three ways. Names of
 aggregates (``sum``, ``min`` ...) become native ones, with partial sums before the
-shuffle. Column blocks fold in the JVM in two steps, first what a task holds of a
-key. Python blocks fold in each task before the shuffle, then as a stream over
+shuffle, and so do column blocks that only add, take the larger or the smaller, or
+do so field by field of a struct. Other column blocks fold in the JVM in two steps
+with a shuffle each: first what one task had of a key, so that no list is longer
+than a task's rows, then what is left of the key. Python blocks fold in each task before the shuffle, then as a stream over
 sorted keys, so that no key's values are ever held together.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidStep
 from .rows import batches_of, drained, pairs_of
@@ -31,8 +35,48 @@ def reduce_native(frame: DataFrame, name: str) -> DataFrame:
     return out.withColumn("v", F.col("v").cast(kind)) if out.schema["v"].dataType != kind else out
 
 
+def _optimized(probe: DataFrame, column: Column) -> str:
+    """What Catalyst makes of a column, without the numbers of attributes."""
+    plan = probe.select(column.alias("out"))._jdf.queryExecution().optimizedPlan().toString()
+    return re.sub(r"#\d+L?", "", plan.split("\n")[0])
+
+
+def known_fold(schema: T.StructType, block: Callable) -> Column | None:
+    """The native aggregate that a column block amounts to, if it only adds numbers or picks the larger or smaller; else None.
+
+    Adding is null as soon as one of several values is, as folding would be.
+    """
+    kind = schema["v"].dataType
+    spark = SparkSession.getActiveSession()
+    probe = spark.createDataFrame(spark.sparkContext.emptyRDD(), T.StructType([T.StructField("k", schema["k"].dataType), T.StructField("l", kind), T.StructField("r", kind)]))
+    made = block(F.col("k"), F.col("l"), F.col("r"))
+    if not isinstance(made, Column):
+        return None
+
+    def one(made: Column, left: Column, right: Column, value: Column, kind: T.DataType) -> Column | None:
+        own = _optimized(probe, made)
+        numbers = isinstance(kind, T.IntegralType | T.FractionalType) and not isinstance(kind, T.DecimalType)
+        for x, y in ((left, right), (right, left)):
+            if numbers and own == _optimized(probe, x + y):
+                return F.when(F.count(F.lit(1)) == F.count(value), F.sum(value)).cast(kind)
+            for pick, native in ((F.greatest, F.max), (F.least, F.min)):
+                if isinstance(kind, T.AtomicType) and own == _optimized(probe, pick(x, y)):
+                    return native(value)
+        return None
+
+    whole = one(made, F.col("l"), F.col("r"), F.col("v"), kind)
+    if whole is not None or not isinstance(kind, T.StructType) or probe.select(made.alias("out")).schema["out"].dataType.simpleString() != kind.simpleString():
+        return whole
+    fields = [one(made[f.name], F.col("l")[f.name], F.col("r")[f.name], F.col("v")[f.name], f.dataType) for f in kind.fields]
+    # A null struct has null fields, but as one value it must stay null.
+    return None if any(f is None for f in fields) else F.when((F.count(F.lit(1)) > 1) | (F.count("v") == 1), F.struct(*[f.alias(x.name) for f, x in zip(fields, kind.fields, strict=True)]))
+
+
 def reduce_columns(frame: DataFrame, block: Callable) -> DataFrame:
     """``block(k, left, right)`` on columns. Values are boxed, since lists of values would drop nulls."""
+    native = known_fold(frame.schema, block)
+    if native is not None:
+        return frame.groupBy("k").agg(native.alias("v"))
 
     def fold(rows: DataFrame) -> DataFrame:
         first = F.element_at("_all", 1)["v"]

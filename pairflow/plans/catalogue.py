@@ -6,6 +6,7 @@ depend on their order.
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import PairflowError
 from ..functions.partitioning import hash_partitioner, identity_partitioner, partition_of
-from .job import Job
+from .job import Job, together
 
 QUERIES = {}
 ORACLE = {}
@@ -211,9 +213,10 @@ def combine_semi(spark, sf_dir):
     return _named(_scan(sf_dir, "customer", "c_custkey", "c_mktsegment").semi(_scan(sf_dir, "orders", "o_custkey")).to_df(spark), "custkey", "segment")
 
 
-@query("select c_custkey as custkey, c_mktsegment as segment from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey as custkey, c_mktsegment as segment from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
 def combine_anti(spark, sf_dir):
-    return _named(_scan(sf_dir, "customer", "c_custkey", "c_mktsegment").anti(_scan(sf_dir, "orders", "o_custkey")).to_df(spark), "custkey", "segment")
+    filled = _scan(sf_dir, "orders", "o_custkey", "o_orderstatus").filter(lambda k, v: v == "F")
+    return _named(_scan(sf_dir, "customer", "c_custkey", "c_mktsegment").anti(filled).to_df(spark), "custkey", "segment")
 
 
 @query("select n_name as nation, r_name as region, s_suppkey as suppkey from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
@@ -285,9 +288,9 @@ def intersect_keys(spark, sf_dir):
     return _scan(sf_dir, "supplier", "s_nationkey").intersect(_scan(sf_dir, "customer", "c_nationkey")).to_df(spark).select(F.col("k").alias("nationkey"))
 
 
-@query("select c_custkey as custkey from customer except select o_custkey from orders")
+@query("select c_custkey as custkey, c_nationkey as nationkey from customer except select s_suppkey, s_nationkey from supplier")
 def except_keys(spark, sf_dir):
-    return _scan(sf_dir, "customer", "c_custkey").subtract(_scan(sf_dir, "orders", "o_custkey")).to_df(spark).select(F.col("k").alias("custkey"))
+    return _named(_scan(sf_dir, "customer", "c_custkey", "c_nationkey").subtract(_scan(sf_dir, "supplier", "s_suppkey", "s_nationkey")).to_df(spark), "custkey", "nationkey")
 
 
 @query("select l_returnflag as returnflag, l_linestatus as linestatus, cast(sum(cast(l_quantity as bigint)) as bigint) as quantity from lineitem group by 1, 2")
@@ -317,22 +320,30 @@ def time_bucket_reduce(spark, sf_dir):
     f"union all select 'largest', cast(max({_SQL_CENTS.format('o_totalprice')}) as bigint), o_orderstatus from orders group by 3"
 )
 def shared_prefix(spark, sf_dir):
-    """Two jobs that share their first steps."""
+    """Two jobs that share their first steps: these are computed once, and both jobs' (few) pairs with them."""
     shared = _scan(sf_dir, "orders", "o_orderstatus", "o_totalprice").map(lambda k, v: (k, F.round(v * 100).cast("bigint")))
-    total = shared.reduce("sum").to_df(spark).select(F.lit("total").alias("kind"), F.col("k").alias("status"), F.col("v").alias("cents"))
-    return total.unionAll(shared.reduce("max").to_df(spark).select(F.lit("largest"), "k", "v"))
+    with together(spark, shared.reduce("sum"), shared.reduce("max")) as (total, largest):
+        both = total.select(F.lit("total").alias("kind"), F.col("k").alias("status"), F.col("v").alias("cents")).unionAll(largest.select(F.lit("largest"), "k", "v"))
+        path = f"{_folder(spark)}/pairs"
+        both.write.parquet(path)
+    return spark.read.schema(both.schema).parquet(path)
 
 
-def _folder(spark: SparkSession) -> tuple[str, bool]:
-    """A folder that all executors reach; a temporary one where the cluster names none."""
+def _folder(spark: SparkSession) -> str:
+    """A folder that all executors reach; a temporary one only in local sessions that name none."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    return (f"{top}/pairs-{uuid.uuid4().hex}", False) if top else (tempfile.mkdtemp(prefix="pairs-"), True)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise PairflowError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="pairs-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+    return f"{top}/pairs-{uuid.uuid4().hex}"
 
 
 @query("select r_regionkey as regionkey, r_name as name from region")
 def dump_load_roundtrip(spark, sf_dir):
     """Dumped as JSON lines by partition, and loaded again."""
-    prefix, _ = _folder(spark)
+    prefix = _folder(spark)
     _scan(sf_dir, "region", "r_regionkey", "r_name").dump(prefix=prefix).to_df(spark)
     return _named(Job().load(prefix=prefix, partitions=PARTITIONS, partitioner=hash_partitioner, schema="k int, v string").to_df(spark), "regionkey", "name")
 
@@ -340,25 +351,21 @@ def dump_load_roundtrip(spark, sf_dir):
 @query("select n_name as nation, n_nationkey as nationkey from nation")
 def each_partition_roundtrip(spark, sf_dir):
     """A side effect by partition: files of its own, read again."""
-    folder, local = _folder(spark)
-    if not local:
-        # Tasks write through the shared folder only if it is a plain path.
-        folder = folder.removeprefix("file://")
+    folder = _folder(spark)
 
     def block(partition, pairs):
         import json
-        import os
 
-        os.makedirs(folder, exist_ok=True)
-        part = f"{folder}/.{partition}-{os.getpid()}"
-        with open(part, "w", encoding="utf-8") as f:
-            f.writelines(json.dumps({"nation": k, "nationkey": v}) + "\n" for k, v in pairs)
-        os.replace(part, f"{folder}/{partition}.json")
+        from pyarrow.fs import FileSystem
+
+        # A store's own name may have another form for Spark. A task that runs again writes the same file again.
+        system, path = FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/{partition}.json") as f:
+            f.write("".join(json.dumps({"nation": k, "nationkey": v}) + "\n" for k, v in pairs).encode())
 
     _scan(sf_dir, "nation", "n_name", "n_nationkey").each_partition(block).to_df(spark)
-    rows = spark.read.schema("nation string, nationkey int").json(f"{folder}/*.json").collect()
-    shutil.rmtree(folder, ignore_errors=True)
-    return spark.createDataFrame(rows, "nation string, nationkey int")
+    return spark.read.schema("nation string, nationkey int").json(f"{folder}/*.json")
 
 
 @query("select n_nationkey as nationkey, n_nationkey % 4 as p from nation")

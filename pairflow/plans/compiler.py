@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,22 @@ def reachable(nodes: Iterable[Node]) -> list[Node]:
     return out
 
 
+@contextmanager
+def in_pool(spark: SparkSession, name: str | None) -> Iterator[None]:
+    """Spark's jobs of this thread run in the scheduler pool, if one is named; afterwards in that of before."""
+    context, key = spark.sparkContext, "spark.scheduler.pool"
+    before = context.getLocalProperty(key)
+    if name:
+        context.setLocalProperty(key, name)
+    try:
+        yield
+    finally:
+        if name:
+            context.setLocalProperty(key, before)
+
+
 class Compiler:
-    """Frames by node. Nodes that several steps use, or that a sink hands on, are kept while the run lasts."""
+    """Frames by node. Nodes that several steps use, or that a sink hands on, are kept until ``release``."""
 
     def __init__(self, spark: SparkSession, roots: Iterable[Node] = ()):
         self.spark = spark
@@ -56,6 +71,10 @@ class Compiler:
             return frame
         out = frame.persist(StorageLevel.MEMORY_AND_DISK)
         self.kept.append(out)
+        if node.enqueuer:
+            # A shared step with a pool of its own does its work now, in that pool, and not in its first user's.
+            with in_pool(self.spark, node.enqueuer):
+                _drained(out)
         return out
 
     def release(self) -> None:
@@ -64,10 +83,10 @@ class Compiler:
         self.kept.clear()
 
     def _compiled(self, node: Node) -> DataFrame:
-        if node.enqueuer:
-            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", node.enqueuer)
         inputs = [self.frames[n] for n in node.inputs]
-        out = getattr(self, f"_{node.action.value}", self._unknown)(node, *inputs)
+        # Sinks run here, and whatever else compiling needs to run.
+        with in_pool(self.spark, node.enqueuer):
+            out = getattr(self, f"_{node.action.value}", self._unknown)(node, *inputs)
         if node.action not in SINKS:
             check_key(out.schema["k"].dataType)
         return out
@@ -77,7 +96,8 @@ class Compiler:
 
     def _parallelize(self, node: Node) -> DataFrame:
         kind = T.StructType.fromDDL(f"k {node.schema}")["k"].dataType if isinstance(node.schema, str) else node.schema
-        return map.with_hook(pairs.from_items(self.spark, node.block(), kind), node.before)
+        map.hooked(node.before)
+        return pairs.from_items(self.spark, node.block(), kind)
 
     def _scan(self, node: Node) -> DataFrame:
         return pairs.scan(node.block(self.spark), node.options["key"], node.options["value"])
@@ -88,18 +108,18 @@ class Compiler:
     def _map(self, node: Node, frame: DataFrame) -> DataFrame:
         if node.schema is not None:
             return map.map_python(frame, node.block, pair_schema(node.schema), node.before)
-        return map.map_columns(map.with_hook(frame, node.before), node.block)
+        map.hooked(node.before)
+        return map.map_columns(frame, node.block)
 
     def _map_partitions(self, node: Node, frame: DataFrame) -> DataFrame:
         # The block sees the layout of the step before; its own is that of its output.
         return partitions.map_partitions(frame, node.block, pair_schema(node.schema), node.parent.partitions, node.parent.partitioner, node.before)
 
     def _reduce(self, node: Node, frame: DataFrame) -> DataFrame:
-        if isinstance(node.block, str):
-            return reduce.reduce_native(map.with_hook(frame, node.before), node.block)
         if node.options["python"]:
             return reduce.reduce_python(frame, node.block, node.before)
-        return reduce.reduce_columns(map.with_hook(frame, node.before), node.block)
+        map.hooked(node.before)
+        return reduce.reduce_native(frame, node.block) if isinstance(node.block, str) else reduce.reduce_columns(frame, node.block)
 
     def _combine(self, node: Node, left: DataFrame, right: DataFrame) -> DataFrame:
         combine.check_partitions(node.parent.partitions, node.other.partitions)
@@ -107,11 +127,13 @@ class Compiler:
         joined = combine.joined(left, right)
         if node.schema is not None:
             return combine.combine_python(joined, node.block, pair_schema(node.schema), node.before)
-        return combine.combine_columns(map.with_hook(joined, node.before), node.block)
+        map.hooked(node.before)
+        return combine.combine_columns(joined, node.block)
 
     def _append(self, node: Node, left: DataFrame, right: DataFrame) -> DataFrame:
         combine.check_partitions(node.parent.partitions, node.other.partitions)
-        return map.with_hook(combine.append(left, right), node.before)
+        map.hooked(node.before)
+        return combine.append(left, right)
 
     def _derived(self, node: Node, *inputs: DataFrame) -> DataFrame:
         if len(inputs) > 1:
@@ -128,4 +150,9 @@ class Compiler:
 
     def evaluate(self, node: Node) -> None:
         """Runs a node for its effects: all of it, without keeping a row."""
-        self.frame(node).select(F.struct("*")).write.format("noop").mode("overwrite").save()
+        with in_pool(self.spark, node.enqueuer):
+            _drained(self.frame(node))
+
+
+def _drained(frame: DataFrame) -> None:
+    frame.select(F.struct("*")).write.format("noop").mode("overwrite").save()

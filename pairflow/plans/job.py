@@ -8,7 +8,8 @@ the data laid out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -41,15 +42,15 @@ class Job:
             raise InvalidStep(f"{action.value} needs a source before it")
         if partitions is not None and (not isinstance(partitions, int) or partitions < 1):
             raise InvalidStep("partitions must be a positive number")
-        if jobs is not None and jobs < 1:
-            raise InvalidStep("jobs must be a positive number")
+        if jobs is not None and jobs < 0:
+            raise InvalidStep("jobs must not be negative")
         node = Node(
             action,
             self.partitions if partitions is None else partitions,
             partitioner or self.partitioner,
             parent=None if source else self.node,
             # No more than one job a partition of the input.
-            jobs=None if source else min(jobs or self.partitions, self.partitions),
+            jobs=None if source else self.partitions if jobs is None else min(jobs, self.partitions),
             enqueuer=enqueuer or self.enqueuer,
             **rest,
         )
@@ -190,12 +191,25 @@ class Job:
         return self._derived(apply, unique=True)
 
     def to_df(self, spark) -> DataFrame:
-        """The job's pairs as a lazy frame; sinks on the way run at once."""
+        """The job's pairs as a lazy frame; sinks on the way run at once. ``together`` gives several jobs' frames."""
         from .compiler import Compiler
 
         return Compiler(spark).frame(_node(self))
 
 
+@contextmanager
+def together(spark, *jobs: Job) -> Iterator[list[DataFrame]]:
+    """The frames of several jobs. Steps that they share are computed once, and kept until the block ends."""
+    from .compiler import Compiler
+
+    nodes = [_node(job) for job in jobs]
+    compiler = Compiler(spark, nodes)
+    try:
+        yield [compiler.frame(node) for node in nodes]
+    finally:
+        compiler.release()
+
+
 def _node(job: Job) -> Node:
     if job.node is None:
         raise InvalidStep("the job has no step")

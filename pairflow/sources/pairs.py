@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ from ..functions.partitioning import layout, partition_of
 from .store import HadoopStore
 
 CHUNK = "chunk.json"
+#: Files of a dump that get their names at a time.
+RENAMES = 16
 
 
 def from_items(spark: SparkSession, items: Iterable[Any], key: T.DataType | None = None) -> DataFrame:
@@ -76,16 +79,19 @@ def dump(frame: DataFrame, prefix: str, n: int, partitioner) -> None:
     lines = placed.repartitionById(n, F.col("_p")).sortWithinPartitions("k").select("_p", F.concat(F.lit("["), _as_json("k", schema["k"].dataType), F.lit(","), _as_json("v", schema["v"].dataType), F.lit("]")).alias("value"))
     part = f"{prefix.rstrip('/')}/.dump-{uuid.uuid4().hex}"
     try:
-        lines.write.partitionBy("_p").option("compression", "none").text(part)
-        for p in range(n):
-            files = [f for f in store.list(f"{part}/_p={p}") if f.rsplit("/", 1)[-1].startswith("part-")]
+        # One file a partition, whatever the session's limit on records in a file.
+        lines.write.partitionBy("_p").option("compression", "none").option("maxRecordsPerFile", 0).text(part)
+        written = {int(f.rsplit("/_p=", 1)[1].split("/")[0]): f for f in store.list(part) if f.rsplit("/", 1)[-1].startswith("part-")}
+
+        def place(p: int) -> None:
             target = f"{prefix.rstrip('/')}/{p}/{CHUNK}"
-            if len(files) > 1:
-                raise OSError(f"partition {p} has {len(files)} files")
-            if files:
-                store.rename(files[0], target)
+            if p in written:
+                store.rename(written[p], target)
             else:
                 store.store(target, "")
+
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(place, range(n)))
     finally:
         store.delete(part)
 

@@ -7,6 +7,7 @@ on the driver; tasks write through Spark's own writer.
 from __future__ import annotations
 
 import posixpath
+import uuid
 from typing import Protocol
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,7 @@ class Store(Protocol):
     def with_prefix(self, path: str) -> str: ...
     def list(self, prefix: str) -> list[str]: ...
     def value(self, name: str) -> str: ...
+    def download(self, name: str, path: str) -> None: ...
     def exists(self, name: str) -> bool: ...
     def store(self, name: str, data: str) -> None: ...
 
@@ -46,6 +48,10 @@ class MemoryStore:
             raise NoSuchObject(name)
         return self.objects[name]
 
+    def download(self, name: str, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(self.value(name))
+
     def exists(self, name: str) -> bool:
         return name in self.objects
 
@@ -82,6 +88,13 @@ class HadoopStore:
         system, path = self._system(name)
         return system.exists(path)
 
+    def download(self, name: str, path: str) -> None:
+        """An object as a file of the driver's."""
+        system, source = self._system(name)
+        if not system.exists(source):
+            raise NoSuchObject(name)
+        system.copyToLocalFile(False, source, self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
     def value(self, name: str) -> str:
         system, path = self._system(name)
         if not system.exists(path):
@@ -105,12 +118,17 @@ class HadoopStore:
         return sorted(s.getPath().toString() for s in system.listStatus(path) if s.isDirectory()) if system.exists(path) else []
 
     def rename(self, old: str, new: str) -> None:
+        """What has the new name goes aside first, and comes back if the old one can't take its place."""
         system, path = self._system(old)
-        target = self._system(new)[1]
-        system.delete(target, True)
+        target, aside = self._system(new)[1], self._system(f"{new}.{uuid.uuid4().hex}")[1]
         system.mkdirs(target.getParent())
+        before = system.exists(target) and system.rename(target, aside)
         if not system.rename(path, target):
+            if before:
+                system.rename(aside, target)
             raise OSError(f"can't rename {old} to {new}")
+        if before:
+            system.delete(aside, True)
 
     def delete(self, name: str) -> None:
         system, path = self._system(name)

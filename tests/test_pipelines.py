@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairflow import IncompatibleFrame, InvalidJob, InvalidKey, InvalidStep, Job, JobStopped, PairflowError, Runner, configure, hash_partitioner, identity_partitioner, resolve_jobs
 from pairflow.plans import config
+from pairflow.plans.job import together
 from pairflow.plans.nodes import Action
 from pairflow.sources.store import HadoopStore, MemoryStore, NoSuchObject
 
@@ -95,6 +96,18 @@ def test_dump_writes_empty_partitions_nulls_and_tuples(spark, tmp_path):
     assert fewer.count() == len(found[0].splitlines())
 
 
+def test_dump_takes_the_place_of_an_older_one(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        for last in ("c", "d"):
+            keys("a", "b", last, partitions=2).dump(prefix=f"{tmp_path}/x").to_df(spark)
+            lines = [x for p in range(2) for x in open(f"{tmp_path}/x/{p}/chunk.json").read().splitlines()]
+            assert sorted(json.loads(x)[0] for x in lines) == ["a", "b", last]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(n for _, _, names in os.walk(f"{tmp_path}/x") for n in names if not n.endswith(".crc")) == ["chunk.json"] * 2
+
+
 def test_load_from_nowhere_is_empty(spark, tmp_path):
     assert Job().load(prefix=f"{tmp_path}/none", partitions=2, partitioner=hash_partitioner, schema="k string, v bigint").to_df(spark).count() == 0
 
@@ -134,6 +147,66 @@ def test_shared_steps_run_once(spark, tmp_path):
     config.reset()
 
 
+def test_jobs_together_share_their_steps(spark, sf):
+    shared = Job().scan(lambda s: s.read.parquet(f"{sf}/orders.parquet"), "o_orderstatus", "o_custkey", partitions=4).map(lambda k, v: (F.lower(k), v))
+    with together(spark, shared.reduce("sum"), shared.reduce("max")) as (total, largest):
+        plan = total.unionAll(largest)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("InMemoryRelation") == 2 and total.count() == largest.count() > 0
+        # Both branches read one kept relation, of one scan.
+        assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 1
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_a_steps_pool_is_its_own(spark, tmp_path):
+    pool = lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    seen = []
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", "outer")
+    try:
+        job = keys("a", partitions=1, enqueuer="p1", before=lambda: seen.append(pool())).map(lambda k, v: (k, F.lit(1)), before=lambda: seen.append(pool()))
+        job.map(lambda k, v: (k, v), enqueuer="p2", before=lambda: seen.append(pool())).dump(prefix=f"{tmp_path}/x").to_df(spark)
+        assert seen == ["p1", "outer", "p2"] and pool() == "outer"
+
+        class Pools:
+            async def run(self):
+                return [job.map(lambda k, v: (k, v), before=lambda: seen.append(pool()))]
+
+        configure(jobs={"Pools": Pools}, enqueuer="all")
+        (frame,) = Runner(Pools, spark).run()
+        assert frame.count() == 1 and seen[3:] == ["p1", "all", "all"] and pool() == "outer"
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        config.reset()
+
+
+SUMS = lambda k, a, b: F.struct((a["_1"] + b["_1"]).alias("_1"), F.greatest(a["_2"], b["_2"]).alias("_2"))
+
+
+@pytest.mark.parametrize(
+    ("block", "native"),
+    [(lambda k, a, b: a + b, True), (lambda k, a, b: b + a, True), (lambda k, a, b: F.greatest(a, b), True), (lambda k, a, b: F.least(b, a), True), (lambda k, a, b: a * b, False), (lambda k, a, b: a + b + 0 * F.length(k), False), (lambda k, a, b: F.coalesce(a, b), False)],
+)
+def test_column_blocks_that_are_native_folds(spark, block, native):
+    pairs = [("a", 3), ("a", 2), ("a", 4), ("b", None), ("b", 5), ("c", None), ("d", 7), (None, 1), (None, 2), ("e", None), ("e", None)]
+    frame = valued(pairs).reduce(block).to_df(spark)
+    assert ("collect_list" not in frame._jdf.queryExecution().executedPlan().toString()) == native
+    from pairflow.operators import reduce as module
+
+    slow, module.known_fold = module.known_fold, lambda *a: None
+    try:
+        plain = valued(pairs).reduce(block).to_df(spark).collect()
+    finally:
+        module.known_fold = slow
+    if block(F.col("k"), F.col("a"), F.col("b")) is not None and "coalesce" not in str(block(F.lit("k"), F.lit(1), F.lit(2))):
+        assert Counter(map(tuple, frame.collect())) == Counter(map(tuple, plain))
+
+
+def test_struct_blocks_that_are_native_folds(spark):
+    frame = spark.createDataFrame([("a", (1, 5)), ("a", (2, None)), ("b", (None, 1)), ("b", (3, 9)), ("c", None), ("d", (4, None))], "k string, v struct<_1:bigint,_2:int>")
+    out = Job().scan(frame, "k", "v", partitions=2).reduce(SUMS).to_df(spark)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.v and tuple(r.v) for r in out.collect()} == {"a": (3, 5), "b": (None, 9), "c": None, "d": (4, None)}
+
+
 def test_parallelize_places_items(spark, tmp_path):
     block, read = seen(tmp_path)
     keys("item1").each_partition(block).to_df(spark)
@@ -256,8 +329,12 @@ def test_before_hook(spark, tmp_path):
     keys("a", "b", partitions=3).each_partition(lambda p, pairs: None, before=before).to_df(spark)
     assert open(f"{tmp_path}/hook").read() == "xxx"
     os.remove(f"{tmp_path}/hook")
-    assert rows(keys("a").map(lambda k, v: (k, F.lit(1)), before=before), spark) == Counter([("a", 1)])
-    assert os.path.exists(f"{tmp_path}/hook")
+    # Where the block is of columns, it runs on the driver, and so does the hook: no Python in the tasks.
+    for job in (keys("a").map(lambda k, v: (k, F.lit(1)), before=before), valued([("a", 1)]).reduce("sum", before=before), valued([("a", 1)]).append(valued([]), before=before)):
+        frame = job.to_df(spark)
+        assert open(f"{tmp_path}/hook").read() == "x" and "Arrow" not in frame._jdf.queryExecution().executedPlan().toString()
+        os.remove(f"{tmp_path}/hook")
+        assert [tuple(r) for r in frame.collect()] == [("a", 1)]
 
 
 def test_key_types(spark):
@@ -275,10 +352,11 @@ def test_options(spark):
     assert job.partitions == 4 and job.partitioner is hash_partitioner and Job().partitions == 0
     assert job.map(numbered).partitions == 4 and job.map(numbered, partitions=2).partitions == 2
     assert [n.jobs for n in job.map(numbered, jobs=9, partitions=2).map(numbered).steps] == [None, 4, 2]
+    assert [n.jobs for n in job.map(numbered, jobs=0).steps] == [None, 0]
     assert Job("slow").parallelize(lambda: [], partitions=1).map(numbered, enqueuer="fast").steps[1].enqueuer == "fast"
     assert Job("slow").parallelize(lambda: [], partitions=1).steps[0].enqueuer == "slow"
     assert job.repartition(partitions=2, partitioner=identity_partitioner).steps[-1].action == Action.MAP
-    for wrong in (lambda: job.map(numbered, jobs=0), lambda: keys("a", partitions=0), lambda: Job().map(numbered), lambda: job.map(numbered, schema="a int, b int").to_df(spark)):
+    for wrong in (lambda: job.map(numbered, jobs=-1), lambda: keys("a", partitions=0), lambda: Job().map(numbered), lambda: job.map(numbered, schema="a int, b int").to_df(spark)):
         with pytest.raises(InvalidStep):
             wrong()
     with pytest.raises(InvalidStep):
@@ -328,8 +406,11 @@ def test_stores(spark, tmp_path):
         assert name == f"{top}/a/b.json" and not store.exists(name) and store.list(f"{top}/a") == []
         store.store(name, "één\n")
         assert store.exists(name) and store.value(name) == "één\n" and len(store.list(f"{top}/a")) == 1
-        with pytest.raises(NoSuchObject):
-            store.value(store.with_prefix("none"))
+        store.download(name, f"{tmp_path}/file")
+        assert open(f"{tmp_path}/file", encoding="utf-8").read() == "één\n"
+        for missing in (store.value, lambda n: store.download(n, f"{tmp_path}/other")):
+            with pytest.raises(NoSuchObject):
+                missing(store.with_prefix("none"))
     assert MemoryStore().with_prefix("x") == "x"
 
 
