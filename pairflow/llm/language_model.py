@@ -1,14 +1,15 @@
 """Language-model scores by deleted interpolation.
 
-Maximum-likelihood estimates of n-grams (here words and pairs) and a uniform one
-are mixed. The weights depend on how often the context was seen, in buckets, and
+Maximum-likelihood estimates of n-grams (here words, pairs and triples) and a
+uniform one are mixed. The weights depend on how often the context was seen, in buckets, and
 are learnt by expectation-maximisation on documents whose counts are deleted: of
 the folds to learn from, fold ``DELETED`` is counted only after the weights are
 known.
 
 Documents become blocks of about ``BLOCK_TOKENS`` tokens, written to the shared
 folder. Each block sends its distinct n-grams with their counts, sorted and
-packed, to buckets by hash; a bucket adds them up and answers each block with the
+packed, to those buckets by hash that get any, so that messages are never more
+than n-grams; a bucket adds them up and answers each block with the
 corpus's counts in the same order; a block and its answers then score its
 documents. A frequent n-gram comes once from each block, so no bucket is hot, and
 nothing that grows with the corpus passes the driver: it gets two sums a bucket
@@ -32,19 +33,28 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, together, word_hashes, written
+from .common import U64, Shared, mix, together, word_hashes, written
 
-ORDER = 2
+ORDER = 3
 FOLDS, KEPT_OUT, DELETED = 10, 0, 1
 ADDED = 0.1
 BLOCK_TOKENS = 1_000_000
 #: Distinct n-grams of all blocks that a bucket adds up, about.
 BUCKET_ENTRIES = 1_500_000
-#: Bits of a pair's (or longer n-gram's) hash; words have 64.
-HASH_BITS = 56
+#: Bits of a pair's (or longer n-gram's) hash, words having 64: so many more than the number of n-grams has that one in 65,536 shares its hash with another.
+SPARE_BITS, MOST_BITS = 16, 56
 END = U64(0x5BD1E9955BD1E995)
-#: Context counts fall into buckets by their bits, this many at most; probabilities into half powers of two.
-CONTEXT_BUCKETS, PROBABILITY_BINS = 16, 80
+#: Context counts fall into buckets by their bits, this many at most.
+CONTEXT_BUCKETS = 16
+
+
+def bins_of(order: int) -> tuple[int, int]:
+    """How many bins probabilities fall into, and how many of them halve it: the histogram has at most 16 ** (order - 1) * bins ** order codes."""
+    return (80, 2) if order < 3 else (32, 1)
+
+
+def hash_bits(grams: int) -> int:
+    return min(MOST_BITS, max(32, grams.bit_length() + SPARE_BITS))
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -67,7 +77,7 @@ class Block:
     def packed(self) -> bytes:
         return pack([self.ids, self.null, self.learnt, self.sizes, self.vocabulary, self.tokens])
 
-    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def grams(self, order: int, bits: int = MOST_BITS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each length 1 to ``order``: sorted distinct hashes, learnt counts, and each token's place among them (-1 where the n-gram would begin before the document).
 
         A pair may begin with the end before the document's first word.
@@ -83,7 +93,7 @@ class Block:
             before[n - 1 :] = hashed[: len(hashed) - n + 1]
             before[rank < n - 1] = END
             key = mix(key * U64(0x9E3779B97F4A7C15) + before * U64(2) + U64(n))
-            short = key >> U64(64 - HASH_BITS)
+            short = key >> U64(64 - bits)
             whole = rank >= n - 2
             values, place = np.unique(short[whole], return_inverse=True)
             every = np.full(len(hashed), -1, dtype=np.int64)
@@ -141,20 +151,20 @@ def _cuts(values: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(values, np.array([step * b for b in range(buckets)], dtype=U64)), len(values))
 
 
-def _requests(buckets: int, order: int):
+def _requests(buckets: int, order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, deleted, payload in zip(batch["block"].to_pylist(), batch["deleted"].to_pylist(), batch["payload"], strict=True):
-                grams = unpacked(payload.as_py()).grams(order)
-                cuts = [_cuts(v, 64 if n == 0 else HASH_BITS, buckets) for n, (v, _, _) in enumerate(grams)]
-                rows = []
-                for b in range(buckets):
+                grams = unpacked(payload.as_py()).grams(order, bits)
+                cuts = [_cuts(v, 64 if n == 0 else bits, buckets) for n, (v, _, _) in enumerate(grams)]
+                rows, to = [], np.flatnonzero(sum(np.diff(c) for c in cuts))
+                for b in to.tolist():
                     parts = []
                     for (values, counts, _), cut in zip(grams, cuts, strict=True):
                         own = values[cut[b] : cut[b + 1]]
                         parts += [np.diff(own, prepend=U64(0)), counts[cut[b] : cut[b + 1]]]
                     rows.append(pack(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([block] * buckets, pa.int64()), pa.array([deleted] * buckets), pa.array(rows, pa.binary())], names=["bucket", "block", "deleted", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([block] * len(to), pa.int64()), pa.array([deleted] * len(to)), pa.array(rows, pa.binary())], names=["bucket", "block", "deleted", "payload"])
 
     return run
 
@@ -200,9 +210,9 @@ def _counts_of(answers, order: int, deleted: bool, rest: bool) -> list[np.ndarra
     return [np.concatenate([p[step * n + rest] for p in parts]) for n in range(order)]
 
 
-def _estimates(block: Block, counts: list[np.ndarray], order: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+def _estimates(block: Block, counts: list[np.ndarray], order: int, total: int, bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
     """For each token the maximum-likelihood estimates of each length (0 where the context is unseen), and the code of its contexts' buckets."""
-    grams = block.grams(order)
+    grams = block.grams(order, bits)
     end = counts[0][np.searchsorted(block.vocabulary, END)].astype(np.float64)
     rank = np.arange(len(block.tokens)) - np.repeat(np.cumsum(block.sizes) - block.sizes, block.sizes)
     seen = counts[0][grams[0][2]].astype(np.float64)
@@ -210,7 +220,7 @@ def _estimates(block: Block, counts: list[np.ndarray], order: int, total: int) -
     code = np.zeros(len(seen), dtype=np.int64)
     for n in range(1, order):
         place = grams[n][2]
-        own = np.where(place >= 0, counts[n][np.maximum(place, 0)], 0).astype(np.float64)
+        own = np.append(counts[n], np.zeros(1, counts[n].dtype))[place].astype(np.float64)  # the last is of no n-gram
         # The context is the n-gram that ended at the token before; before the first word, the end.
         context = np.empty_like(seen)
         context[1:] = seen[:-1]
@@ -221,20 +231,21 @@ def _estimates(block: Block, counts: list[np.ndarray], order: int, total: int) -
     return np.stack(estimates, axis=1), code
 
 
-def _bin(p: np.ndarray) -> np.ndarray:
-    """0 for nothing, else 1 and up by half powers of two."""
+def _bin(p: np.ndarray, order: int) -> np.ndarray:
+    """0 for nothing, else 1 and up by (parts of) powers of two."""
+    bins, each = bins_of(order)
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, 1 + np.clip(np.round(-2 * np.log2(p)), 0, PROBABILITY_BINS - 2), 0).astype(np.int64)
+        return np.where(p > 0, 1 + np.clip(np.round(-each * np.log2(p)), 0, bins - 2), 0).astype(np.int64)
 
 
-def _histogram(order: int, kept_total: int):
+def _histogram(order: int, kept_total: int, bits: int):
     def run(key, blocks, answers):
         import pandas as pd
 
         block = unpacked(blocks["payload"].iloc[0])
-        estimates, code = _estimates(block, _counts_of(answers, order, True, True), order, kept_total)
+        estimates, code = _estimates(block, _counts_of(answers, order, True, True), order, kept_total, bits)
         for n in range(order):
-            code = code * PROBABILITY_BINS + _bin(estimates[:, n])
+            code = code * bins_of(order)[0] + _bin(estimates[:, n], order)
         values, n = np.unique(code, return_counts=True)
         return pd.DataFrame({"code": values, "n": n.astype(np.int64)})
 
@@ -251,10 +262,11 @@ def learn_weights(codes: np.ndarray, n: np.ndarray, order: int, distinct: int, r
     p = np.empty((len(codes), order + 1))
     p[:, 0] = 1 / (distinct + 1)
     rest = codes.copy()
+    bins, each = bins_of(order)
     for k in range(order, 0, -1):
-        b = rest % PROBABILITY_BINS
-        p[:, k] = np.where(b > 0, 2.0 ** (-(b - 1) / 2), 0)
-        rest //= PROBABILITY_BINS
+        b = rest % bins
+        p[:, k] = np.where(b > 0, 2.0 ** (-(b - 1) / each), 0)
+        rest //= bins
     able = np.ones((places, order + 1))
     for k in range(1, order):
         able[:, 1 + k] = (np.arange(places) // CONTEXT_BUCKETS ** (order - 1 - k)) % CONTEXT_BUCKETS > 0
@@ -274,14 +286,14 @@ def learn_weights(codes: np.ndarray, n: np.ndarray, order: int, distinct: int, r
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(order: int, model):
+def _score(order: int, bits: int, model):
     def run(key, blocks, answers):
         import pandas as pd
 
         weights, total, distinct = model.value
         block, deleted = unpacked(blocks["payload"].iloc[0]), bool(blocks["deleted"].iloc[0])
         counts = _counts_of(answers, order, deleted, False)
-        estimates, code = _estimates(block, counts, order, total)
+        estimates, code = _estimates(block, counts, order, total, bits)
         mixed = weights[code]
         p = mixed[:, 0] / (distinct + 1)
         for k in range(order):
@@ -311,8 +323,9 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     blocks = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, _BLOCK))
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    bits = hash_bits(order * tokens)
     buckets = 1 << max(0, int(order * 0.8 * tokens / BUCKET_ENTRIES).bit_length())
-    asked = blocks.select("block", "deleted", "payload").mapInArrow(_requests(buckets, order), "bucket int, block long, deleted boolean, payload binary")
+    asked = blocks.select("block", "deleted", "payload").mapInArrow(_requests(buckets, order, bits), "bucket int, block long, deleted boolean, payload binary")
     answers = written(asked.groupBy("bucket").applyInPandas(_add_up(order), _ANSWER))
     total, distinct = answers.agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = total or 0, distinct or 0
@@ -320,7 +333,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     deleted = blocks.where("deleted")
     kept = total - (deleted.agg(F.sum("tokens")).first()[0] or 0)
     of_deleted = own.join(F.broadcast(deleted.select("block")) if deleted.limit(100_001).count() <= 100_000 else deleted.select("block"), "block", "left_semi")
-    found = deleted.groupBy("block").cogroup(of_deleted.groupBy("block")).applyInPandas(_histogram(order, kept), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    found = deleted.groupBy("block").cogroup(of_deleted.groupBy("block")).applyInPandas(_histogram(order, kept, bits), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(found["code"].to_numpy(np.int64), found["n"].to_numpy(np.float64), order, distinct)
-    model = spark.sparkContext.broadcast((weights, total, distinct))  # a few kB
-    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_score(order, model), SCORED)
+    model = Shared(spark, (weights, total, distinct))  # a few kB
+    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_score(order, bits, model), SCORED)

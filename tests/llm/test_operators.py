@@ -615,9 +615,58 @@ def test_mixture_is_that_of_the_counts(spark):
             at += 1
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_token_by_token(spark, monkeypatch, order):
+    """The query's score against a sum over tokens from plain counts, with the weights that were learnt."""
+    learnt = []
+    learn = language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda *a: learnt.append(learn(*a)) or learnt[0])
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 20_000)
+    monkeypatch.setattr(language_model, "BUCKET_ENTRIES", 4_000)
+    monkeypatch.setattr(language_model, "SPARE_BITS", 56)  # else one n-gram in many shares another's count
+    docs = documents(spark)
+    rows = {r.doc_id: r for r in language_model.scored(docs, order=order).collect()}
+    end = "\0"
+    given = [(r.doc_id, WORDS.findall(r.text.translate(LOWER)) + [end]) for r in docs.collect()]
+    counts = [Counter() for _ in range(4)]
+    for i, words in given:
+        if fold(i, 10):
+            for at, w in enumerate(words):
+                before = [end, *words][: at + 1]
+                counts[1][w] += 1
+                counts[2][before[-1], w] += 1
+                if at:
+                    counts[3][before[-2], before[-1], w] += 1
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    bucket = lambda n: min(15, math.ceil(math.log2(n + 1)))
+    for i, words in given:
+        score = 0.0
+        for at, w in enumerate(words):
+            before = [end, *words][: at + 1]
+            one, two = counts[1][before[-1]], counts[2][before[-2], before[-1]] if at else 0
+            code = bucket(one) if order == 2 else bucket(one) * 16 + bucket(two)
+            weight = learnt[0][code]
+            p = weight[0] / (distinct + 1) + weight[1] * counts[1][w] / total + weight[2] * (counts[2][before[-1], w] / one if one else 0)
+            if order == 3 and two:
+                p += weight[3] * counts[3][before[-2], before[-1], w] / two
+            score += math.log10(p)
+        assert math.isclose(rows[i].score, score, rel_tol=1e-9) and rows[i].train_tokens == total
+
+
+def test_messages_are_never_more_than_grams():
+    """Only buckets that hold an n-gram get a message, however many buckets there are."""
+    import pyarrow as pa
+
+    docs = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array(["a b c a b", "d"])], names=["doc_id", "text"])
+    (block,) = list(language_model._blocks(iter([docs])))[:1]
+    for buckets in (1, 1 << 16):
+        (sent,) = list(language_model._requests(buckets, 3, 40)(iter([block.select(["block", "deleted", "payload"])])))
+        assert 1 <= sent.num_rows <= sum(len(v) for v, _, _ in language_model.unpacked(block["payload"][0].as_py()).grams(3, 40))
+
+
 def test_weights_are_a_distribution_and_fit():
     rng = np.random.default_rng(1)
-    b = language_model.PROBABILITY_BINS
+    b = language_model.bins_of(2)[0]
     codes = (rng.integers(0, 16, 500) * b + rng.integers(0, b, 500)) * b + rng.integers(0, b, 500)
     weights = language_model.learn_weights(codes, np.ones(500), 2, 1000)
     assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all() and weights[0, 2] == 0
