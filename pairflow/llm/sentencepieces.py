@@ -29,23 +29,23 @@ counts as a blank. A run of n characters without a cut takes time as n squared.
 from __future__ import annotations
 
 import hashlib
-import operator
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, written
+from .common import Shared, together, written
 from .language_model import pack, unpack
 
 BLANK = "▁"
 #: Occurrences of words in a block, about.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_500_000
 #: Units of all blocks that a bucket gets, about, and buckets in a partition.
 BUCKET_UNITS, TOGETHER = 40_000, 4
 #: How much less than the worst piece a character without one scores.
@@ -67,6 +67,7 @@ class Model:
         self.unknown_score = min((s for _, _, s in self.pieces), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(p) for p, _, _ in self.pieces), default=1)
         self.inside = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
+        self._kinds = None
         self.spans_blanks = any(pair[1] == " " != pair[0] for pair in self.inside)
         self.raw = [b""] * len(ids)
         for p, i, _ in self.pieces:
@@ -91,16 +92,43 @@ class Model:
         text = " " + text.replace(BLANK, " ")
         return [text] if self.spans_blanks else _WORD.findall(text)
 
-    def units(self, word: str) -> list[str]:
-        """The word, cut wherever no piece has both neighbours."""
-        inside = self.inside
-        cuts = [i for i, held in enumerate(map(inside.__contains__, map(operator.add, word, word[1:])), 1) if not held]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
-
-
-def _ragged(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    def units(self, words: list[str]) -> Iterator[list[str]]:
+        """Each word, cut wherever no piece has both neighbours."""
+        if not words:
+            return
+        kinds, inside = self._tables()
+        text = "".join(words)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = kinds[chars]
+        starts = np.ones(len(chars), bool)
+        starts[1:] = ~inside[kind[:-1], kind[1:]]
+        ends = np.cumsum([len(w) for w in words])
+        starts[ends[:-1]] = True
+        cuts = np.flatnonzero(starts)
+        last = np.searchsorted(cuts, ends).tolist()
+        cuts = [*cuts.tolist(), len(chars)]
+        at = 0
+        for stop in last:
+            yield [text[cuts[i] : cuts[i + 1]] for i in range(at, stop)]
+            at = stop
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every character's number (0: in no pair), and which pairs of numbers are inside a piece."""
+        if self._kinds is None:
+            known = sorted({c for pair in self.inside for c in pair})
+            place = {c: i for i, c in enumerate(known, 1)}
+            kinds = np.zeros(0x110000, np.uint16)
+            kinds[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+            inside = np.zeros((len(known) + 1, len(known) + 1), bool)
+            for a, b in self.inside:
+                inside[place[a], place[b]] = True
+            self._kinds = kinds, inside
+        return self._kinds
+
+
+def _ragged(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
     """The chosen lists, one after another, of lists that lie one after another."""
-    begin, each = np.cumsum(lengths) - lengths, lengths[chosen]
+    begin, each = np.cumsum(lengths) - lengths if begin is None else begin, lengths[chosen]
     return values[np.repeat(begin[chosen] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
 
 
@@ -128,30 +156,30 @@ def _blocks(model, block_words: int):
 
         def flush() -> pa.RecordBatch:
             units = [u.encode("utf-8", "surrogatepass") for u in places]
-            hashed = [zlib.crc32(u) for u in units]
-            order = sorted(range(len(units)), key=lambda i: (hashed[i], units[i]))
+            order = np.argsort(np.array([zlib.crc32(u) for u in units], np.uint32), kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             of_word, n_of = np.array(parts, np.uint32), np.array(lengths, np.int64)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             n_units = np.bincount(owner, weights=n_of[flat], minlength=len(sizes)).astype(np.int64)
             documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n_units, rank, _ragged(of_word, n_of, flat)]
-            row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [pack(_pack_units([units[i] for i in order]))], [pack(documents)]]
+            row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [pack(_pack_units([units[i] for i in order.tolist()]))], [pack(documents)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "n_units", "units", "documents"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                found = own.words(text.as_py())
-                for w in set(found).difference(words):
+            given = batch["doc_id"].to_pylist()
+            for s in together(batch["text"]):
+                found = [own.words(x.as_py()) for x in batch["text"].slice(s.start, s.stop - s.start)]
+                new = list(dict.fromkeys(w for one in found for w in set(one).difference(words)))
+                for w, cut in zip(new, own.units(new), strict=True):
                     words[w] = len(words)
-                    cut = own.units(w)
                     parts.extend([places.setdefault(u, len(places)) for u in cut])
                     lengths.append(len(cut))
-                tokens.append(np.array(list(map(words.__getitem__, found)), np.int64))
-                ids.append(doc_id)
-                sizes.append(len(found))
-                count += len(found) + 1
+                tokens.append(np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.uint32, sum(map(len, found))))
+                ids += given[s]
+                sizes += map(len, found)
+                count += len(tokens[-1]) + len(found)
                 if count >= block_words:
                     yield flush()
                     for held in (ids, sizes, tokens, words, places, parts, lengths):
@@ -410,12 +438,12 @@ def _digest(model):
         ends = np.cumsum(length).tolist()
         of_unit = [b"".join([raw[i] for i in each[a:b]]) for a, b in zip([0, *ends], ends)]
         chars = np.array([len(x.decode("utf-8", "replace")) for x in of_unit], np.int64)
-        flat = flat.astype("<u4")
+        flat, begin = flat.astype("<u4"), np.cumsum(length) - length
         rows, at = [], 0
         for n in sizes.tolist():
             part = tokens[at : at + n]
             at += n
-            own = _ragged(flat, length, part)
+            own = _ragged(flat, length, part, begin)
             text = b"".join(map(of_unit.__getitem__, part.tolist()))[1:]
             rows.append((len(own), zlib.crc32(own.tobytes()), int(chars[part].sum()) - (n > 0), hashlib.sha256(text).hexdigest()))
         out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_chars", "decoded_sha256"])
