@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import extraction, fingerprints, language, language_model, media, near_dups, packing, quality, sentencepieces, urls
 from .common import table
 
@@ -89,6 +91,68 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
+# Columns of the operators' results that SQL can say, as queries of their own.
+
+
+@_query
+def media_payloads(spark, sf_dir):
+    return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+ORACLE["media_payloads"] = r"""
+with raw as (
+  select doc_id, encode(coalesce(text, '')) as b from documents
+), sized as (
+  select doc_id, b, cast(octet_length(b) as bigint) as n, greatest(576, cast(ceil(octet_length(b) / 576.0) as bigint) * 576) as m from raw
+)
+select doc_id, n as n_bytes, m as payload_bytes, sha256(b || repeat('\xFF'::blob, m - n)) as payload_sha256 from sized
+"""
+
+
+@_query
+def edited_texts(spark, sf_dir):
+    return fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+ORACLE["edited_texts"] = """
+with own as (
+  select doc_id, coalesce(text, '') as t, lead(coalesce(text, '')) over (order by doc_id desc) as following, first_value(coalesce(text, '')) over (order by doc_id desc) as top from documents
+), halves as (
+  select doc_id, t, coalesce(following, top) as following, cast(length(t) as bigint) as n from own
+)
+select doc_id, n as n_chars, sha256(substring(t, 1, n - n // 2) || substring(following, 1, n // 2)) as edited_sha256 from halves
+"""
+
+
+@_query
+def lm_base_scores(spark, sf_dir):
+    rows = op8_lm_scoring(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+ORACLE["lm_base_scores"] = r"""
+with recursive bits(i, k, c) as (
+  select i, 0, cast(i as bigint) from range(256) t(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8
+), bytes as (
+  select i, c from bits where k = 8
+), crc(doc_id, s, place, c) as (
+  select distinct doc_id, cast(doc_id as varchar), cast(1 as bigint), cast(4294967295 as bigint) from documents
+  union all
+  select doc_id, s, place + 1, xor(crc.c >> 8, bytes.c) from crc join bytes on bytes.i = xor(crc.c & 255, ord(substring(s, place, 1))) & 255 where place <= length(s)
+), folds as (
+  select doc_id, xor(c, 4294967295) % 10 = 0 as held_out from crc where place = length(s) + 1
+), words as (
+  select doc_id, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ')) as w from documents
+), counts as (
+  select w, count(*) as c from words join folds using (doc_id) where not held_out group by w
+), totals as (
+  select cast(sum(c) as bigint) as n, count(*) as v from counts
+)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 3) as base_score
+from words join folds using (doc_id) left join counts using (w) cross join totals group by doc_id, held_out
+"""
+
+
 ORACLE["op2_near_duplicates"] = r"""
 with recursive split as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents

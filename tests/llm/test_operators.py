@@ -72,6 +72,19 @@ def test_word_hashes_depend_on_words_alone():
     assert word_hashes(["A"], lower=False)[0] != word_hashes(["a"], lower=False)[0]
 
 
+def test_models_need_no_package_on_the_executors(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    models = [language.train(["the cat " * 20, "die katze " * 20], ["en", "de"], epochs=1), quality.train(["a b c"] * 4, [0, 1, 0, 1], epochs=1), sentencepieces._model(None)]
+    call = "import pickle, sys; a, b, c = pickle.load(sys.stdin.buffer); print(a.folded().predict(['the cat'])[0], b.scores(['a b'])[0], [*c.units([' the cat'])]); assert 'pairflow' not in sys.modules"
+    done = subprocess.run([sys.executable, "-c", call], input=cloudpickle.dumps(models), cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, timeout=60)
+    assert done.returncode == 0, done.stderr
+
+
 # 1. Languages
 
 

@@ -5,30 +5,35 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from pairflow.llm import language, near_dups, quality
+from pairflow.llm import language, quality
+
+from .test_operators import plain_components
 
 
 def test_stages(spark):
+    """Each stage against a version without Spark of its own."""
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "language", "near_duplicates", "packing"] and corpus_pipeline.ORACLE_SQL is None
-    good = corpus_pipeline.keep_good(spark, docs, sf)
+    ids = lambda frame: sorted(r.doc_id for r in frame.select("doc_id").collect())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = corpus_pipeline.keep_good(spark, docs, sf).cache()
     scorer = quality.learn(docs, labels)
-    assert good.columns == docs.columns
-    own = good.cache()
-    texts = docs.collect()
-    assert {r.doc_id for r in own.collect()} == {r.doc_id for r, s in zip(texts, scorer.scores([r.text for r in texts]), strict=True) if s >= quality.THRESHOLD}
-    spoken = corpus_pipeline.keep_languages(spark, own, sf).cache()
-    assert spoken.columns == docs.columns and set(r.doc_id for r in spoken.collect()) <= set(r.doc_id for r in own.collect())
-    kept = corpus_pipeline.keep_first_copies(spark, spoken, sf)
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in near_dups.near_duplicates(spoken).where("kept").collect()}
+    assert good.columns == docs.columns and ids(good) == sorted(i for i, t in texts.items() if scorer.scores([t])[0] >= quality.THRESHOLD)
+    spoken = corpus_pipeline.keep_languages(spark, good, sf).cache()
+    network = language.learn(good).folded()
+    found = {i: network.predict([texts[i]]) for i in ids(good)}
+    assert spoken.columns == docs.columns and ids(spoken) == sorted(i for i, ((label,), (score,)) in found.items() if label != "und" and score >= language.LEAST_SCORE)
+    kept = corpus_pipeline.keep_first_copies(spark, spoken, sf).cache()
+    plain = plain_components([(i, texts[i]) for i in ids(spoken)], 80)
+    assert kept.columns == docs.columns and ids(kept) == sorted(i for i, (_, first) in plain.items() if i == first)
     packed = corpus_pipeline.pack_sequences(spark, kept, sf)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+    assert sorted({r.doc_id for r in packed.select("doc_id").distinct().collect()}) == ids(kept)
+    assert len(ids(kept)) < len(ids(spoken)) and len(ids(good)) < len(texts)
     clean = labels.where("quality = 1").join(docs, "doc_id").select("doc_id")
-    lost = clean.join(spoken, "doc_id", "left_anti").count()
-    assert lost <= 0.02 * clean.count()
+    assert clean.join(spoken, "doc_id", "left_anti").count() <= 0.02 * clean.count()
 
 
 def test_stages_without_rows(spark):
@@ -41,14 +46,24 @@ def test_stages_without_rows(spark):
 
 
 def test_stages_keep_odd_columns_and_rows(spark):
+    """Clashing names, nulls, empty and very long texts, ties and repeated rows."""
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"score": F.lit(1), "node": F.lit(None).cast("string"), "tie": F.lit(2)})
-    odd = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
-    docs = docs.union(odd).union(docs.limit(3))
+    names = ["score", "node", "tie", "_gone_id", "gone_id", "again", "block", "bucket", "length", "offset"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    first = docs.orderBy("doc_id").limit(1)
+    odd = first.withColumns({"doc_id": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    blank = first.withColumns({"doc_id": F.lit(900_001).cast("bigint"), "text": F.lit(" \n")})
+    long = first.withColumns({"doc_id": F.lit(900_002).cast("bigint"), "text": F.repeat(F.concat("text", F.lit("\n")), 400)})
+    tied = first.withColumns({"doc_id": F.lit(900_003).cast("bigint")})
+    docs = docs.union(odd).union(odd).union(blank).union(long).union(tied).union(docs.limit(3)).select(*columns)
+    docs = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
-        assert docs.columns[-3:] == ["score", "node", "tie"]
-    assert docs.count() == docs.select("doc_id").distinct().count() > 50
+        assert docs.columns == [*columns, *names]
+    ids = [r.doc_id for r in docs.collect()]
+    assert len(ids) == len(set(ids)) > 50 and 900_001 not in ids and None not in ids
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, sf).collect()} == set(ids)
 
 
 def test_run_and_registry(spark):
