@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from typing import NamedTuple
 
 import numpy as np
@@ -36,11 +38,53 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top}/pairflow-{uuid.uuid4().hex}"
 
 
+#: Tables in the shared folder that are there still, with their sessions, and the scopes that are open.
+_there: dict[str, SparkSession] = {}
+_scopes: list[list[tuple[str, DataFrame]]] = []
+
+
 def written(frame: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder: lineage ends there and survives lost executors."""
+    """The same rows as a table in the shared folder: lineage ends there and survives lost executors.
+
+    It goes with the scope that it is written in (``scratch``), or when Python ends.
+    """
     spark, path = frame.sparkSession, shared_folder(frame.sparkSession)
+    if not _there:
+        atexit.register(_clear)
+    _there[path] = spark
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append((path, out))
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _there.pop(path)
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+
+
+def _clear() -> None:
+    for path in list(_there):
+        # The session may be over: then its folder stays to whoever owns it.
+        with suppress(Exception):
+            _delete(path)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those in the list that is given, which the outer scope takes over."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        for path, frame in _scopes.pop():
+            if not any(frame is x for x in kept):
+                _delete(path)
+            elif _scopes:
+                _scopes[-1].append((path, frame))
 
 
 def rows_upto(frame: DataFrame, bound: int) -> bool:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, mix, rows_upto, together, word_hashes, written
+from .common import U64, mix, rows_upto, scratch, together, word_hashes, written
 
 SHINGLE = 5
 SYMBOLS, CHUNKS, DISTANCE = 64, 14, 27
@@ -266,15 +266,13 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         edges = written(small.union(least.select("m", "node")).select(F.col("a").alias("root"), F.col("b").alias("node")).distinct())
 
 
-def _rooted(frame: DataFrame, roots: DataFrame | None, column: str, name: str) -> DataFrame:
-    if roots is None:
-        return frame.withColumn(name, F.col(column))
+def _rooted(frame: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
     found = roots.select(F.col("node").alias(column), F.col("root").alias(name))
     return frame.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _links(nodes: DataFrame, docs: DataFrame, contract: Contract) -> DataFrame | None:
-    """(node, root) of all nodes with a link; None if there is no link."""
+def _links(nodes: DataFrame, docs: DataFrame, contract: Contract) -> DataFrame:
+    """(node, root) of all nodes with a link but the roots, as a table."""
     least = contract.least
     # Sets this small are only linked if they are equal.
     able = nodes.where((F.col("n") + 1) * least <= F.col("n") * PER)
@@ -314,7 +312,7 @@ def _links(nodes: DataFrame, docs: DataFrame, contract: Contract) -> DataFrame |
     return components(edges.union(_with_sets(pairs, able, docs).mapInArrow(_confirm(least), "a binary, b binary")))
 
 
-def _across(differences: DataFrame, roots: DataFrame | None, least: int) -> DataFrame | None:
+def _across(differences: DataFrame, roots: DataFrame, least: int) -> DataFrame | None:
     """Pairs (a, b) of nodes of one hub and different components, of which one is outside the hub's, that share as much of their differences as a link needs; some that share less are among them. None if no node is outside."""
     per, off = PER + least, PER - least
     rooted = _rooted(_rooted(differences, roots, "a", "a_root"), roots, "hub", "hub_root")
@@ -351,11 +349,11 @@ def _grouped(docs: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     signed = written(docs.mapInArrow(_sign(contract.symbols), _SIGNED))
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    roots = _links(nodes, docs, contract)
-    rooted = _rooted(nodes.select("node", "rep"), roots, "node", "root")
-    if roots is not None:
-        rooted = written(rooted)
-        rooted = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("rep")), "root")
+    with scratch() as kept:
+        roots = _links(nodes, docs, contract)
+        kept.append(roots)
+    rooted = written(_rooted(nodes.select("node", "rep"), roots, "node", "root"))
+    rooted = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("rep")), "root")
     return signed.drop("signature"), rooted.select("node", "root", "rep")
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairflow.llm import catalogue, extraction, fingerprints, language, language_model, media, near_dups, packing, quality, sentencepieces, urls
+from pairflow.llm import catalogue, common, extraction, fingerprints, language, language_model, media, near_dups, packing, quality, sentencepieces, urls
 from pairflow.llm.common import scan_words, word_hashes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -85,6 +85,21 @@ def test_models_need_no_package_on_the_executors(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+def test_scratch_tables_go(spark):
+    import os
+
+    place = lambda frame: frame.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    with common.scratch() as outer:
+        with common.scratch() as inner:
+            gone, kept = common.written(spark.range(3)), common.written(spark.range(4))
+            folders = place(gone), place(kept)
+            inner.append(kept)
+        assert not os.path.exists(folders[0]) and kept.count() == 4 and not outer
+    assert not os.path.exists(folders[1])
+    alone = common.written(spark.range(5))
+    assert alone.count() == 5 and any(place(alone).endswith(p.rsplit("/", 1)[-1]) for p in common._there)
+
+
 # 1. Languages
 
 

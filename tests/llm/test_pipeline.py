@@ -7,7 +7,7 @@ import __spark_entry__
 import corpus_pipeline
 from pairflow.llm import language, quality
 
-from .test_operators import plain_components
+from test_operators import plain_components
 
 
 def test_stages(spark):
