@@ -80,4 +80,7 @@ def judged(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str =
     )
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_verdict").alias("v"), F.concat("r_host", "r_path").alias("rule"))
     best = found.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.v").alias("ruled"))
-    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    # Rows without a host have no rule to meet, however many there are: what they are joined on spreads them.
+    place = F.when(F.col("host") == "", F.col("page_id").cast("string")).otherwise(F.col("path"))
+    met = parts.withColumn("place", place).join(best.withColumnRenamed("path", "place"), ["host", "place"], "left")
+    return met.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
