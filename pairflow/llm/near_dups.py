@@ -353,7 +353,9 @@ def _grouped(docs: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]
         roots = _links(nodes, docs, contract)
         kept.append(roots)
     rooted = written(_rooted(nodes.select("node", "rep"), roots, "node", "root"))
-    rooted = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("rep")), "root")
+    # A table of its own, so that Spark can split the nodes of a large component in the join.
+    reps = written(rooted.groupBy("root").agg(F.min("rep").alias("rep")))
+    rooted = rooted.select("node", "root").join(reps, "root")
     return signed.drop("signature"), rooted.select("node", "root", "rep")
 
 
@@ -373,7 +375,7 @@ def deduplicated(docs: DataFrame, contract: Contract = QUERY) -> DataFrame:
     signed, rooted = _grouped(docs, contract)
     placed = written(signed.where("node is not null").join(rooted, "node").select("doc_id", "tie", "root"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "tie")
-    first = placed.groupBy("root").agg(F.min(place).alias("first"))
+    first = written(placed.groupBy("root").agg(F.min(place).alias("first")))
     # Of rows that repeat, id and text alike, the one that stays is known by its id and tie only.
     gone_id, gone_tie, again = (_unused(docs.columns, x) for x in ("gone_id", "gone_tie", "again"))
     judged = placed.join(first, "root").groupBy("doc_id", "tie").agg(F.min(place != F.col("first")).alias("gone"), F.count(F.lit(1)).alias("n"))
