@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import JobStopped
+from ..errors import DuplicateKey, JobStopped, PairflowError
 from .compiler import Compiler, in_pool
 from .config import get_config
 from .nodes import SINKS
@@ -62,6 +62,9 @@ class Runner:
         except Exception as error:
             if self.stopped:
                 raise JobStopped(self.name) from error
+            if "duplicate key" in str(error) and not isinstance(error, PairflowError):
+                # Found by a task, which can only raise Spark's own errors.
+                raise DuplicateKey(self.name) from error
             raise
         finally:
             compiler.release()

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pairflow import IncompatibleFrame, InvalidJob, InvalidKey, InvalidStep, Job, JobStopped, PairflowError, Runner, configure, hash_partitioner, identity_partitioner, resolve_jobs
+from pairflow import DuplicateKey, IncompatibleFrame, InvalidJob, InvalidKey, InvalidStep, Job, JobStopped, PairflowError, Runner, configure, hash_partitioner, identity_partitioner, resolve_jobs
 from pairflow.plans import config
 from pairflow.plans.job import together
 from pairflow.plans.nodes import Action
@@ -270,6 +270,15 @@ def test_combine_duplicates_on_the_right(spark):
     block = lambda k, a, b: (k, b)
     with pytest.raises(Exception, match="duplicate key"):
         left.combine(right, block).to_df(spark).collect()
+
+    class Twice:
+        def run(self):
+            return left.combine(right, block)
+
+    configure(jobs={"Twice": Twice})
+    with pytest.raises(DuplicateKey):
+        Runner(Twice, spark).run()
+    config.reset()
     assert rows(left.combine(right, block, on_duplicate="min"), spark) == Counter([("a", 10)])
     with pytest.raises(InvalidStep):
         left.combine(right, block, on_duplicate="first").to_df(spark)
