@@ -45,7 +45,7 @@ from .language_model import pack, unpack
 
 BLANK = "▁"
 #: Occurrences of words in a block, about.
-BLOCK_WORDS = 2_500_000
+BLOCK_WORDS = 6_000_000
 #: Units of all blocks that a bucket gets, about, and buckets in a partition.
 BUCKET_UNITS, TOGETHER = 40_000, 4
 #: How much less than the worst piece a character without one scores.
@@ -132,6 +132,25 @@ def _ragged(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, begin:
     return values[np.repeat(begin[chosen] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
 
 
+def _coded(places: np.ndarray) -> list[np.ndarray]:
+    """Places as bytes: one for the first 192, three for most others, and the few beyond those whole."""
+    far = places >= 192
+    rest = places[far].astype(np.int64) - 192
+    top = np.minimum(rest >> 16, 63)
+    first = places.astype(np.uint8)
+    first[far] = 192 + top
+    return [first, (rest >> 8).astype(np.uint8), rest.astype(np.uint8), rest[top == 63].astype(np.uint32)]
+
+
+def _decoded(first: np.ndarray, high: np.ndarray, low: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    out = first.astype(np.int64)
+    far = first >= 192
+    rest = (out[far] - 192 << 16) + (high.astype(np.int64) << 8) + low
+    rest[first[far] == 255] = whole
+    out[far] = rest + 192
+    return out
+
+
 def _pack_units(units: list[bytes]) -> list[np.ndarray]:
     return [np.array([len(u) for u in units], np.uint32), np.frombuffer(b"".join(units), np.uint8)]
 
@@ -146,7 +165,7 @@ _BLOCK = "block long, n_units long, units binary, documents binary"
 
 def _blocks(model, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For every block its distinct units by hash, and its documents as places in order of appearance."""
+        """For every block its distinct units by hash, and its documents as places in order of frequency."""
         own = model.value
         ids, sizes, tokens = [], [], []
         words: dict[str, int] = {}
@@ -163,7 +182,11 @@ def _blocks(model, block_words: int):
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             n_units = np.bincount(owner, weights=n_of[flat], minlength=len(sizes)).astype(np.int64)
-            documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n_units, rank, _ragged(of_word, n_of, flat)]
+            every = _ragged(of_word, n_of, flat)
+            often = np.argsort(-np.bincount(every, minlength=len(units)), kind="stable")
+            place = np.empty(len(units), np.uint32)
+            place[often] = np.arange(len(units), dtype=np.uint32)
+            documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n_units, rank[often], *_coded(place[every])]
             row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [pack(_pack_units([units[i] for i in order.tolist()]))], [pack(documents)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "n_units", "units", "documents"])
 
@@ -364,14 +387,14 @@ def _answers(model):
 
 def _of_block(blocks, answers) -> tuple:
     """A block's document ids (and which are null), units of each, all units' places, and every unit's ids as one array with lengths, by place."""
-    ids, null, sizes, rank, tokens = unpack(blocks["documents"].iloc[0])
+    ids, null, sizes, rank, *tokens = unpack(blocks["documents"].iloc[0])
     parts = [unpack(x) for x in answers.sort_values("bucket")["payload"]]
     length = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
     if len(length) != len(rank):
         raise RuntimeError("a block's units did not all come back")
     rank = rank.astype(np.int64)
-    return ids, null.astype(bool), sizes, tokens.astype(np.int64), _ragged(flat, length, rank), length[rank]
+    return ids, null.astype(bool), sizes, _decoded(*tokens), _ragged(flat, length, rank), length[rank]
 
 
 def _ids_of(key, blocks, answers):

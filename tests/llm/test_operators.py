@@ -596,6 +596,12 @@ def test_piece_digests(spark, awkward):
         assert Counter((r.doc_id, r.decoded_chars, r.decoded_sha256) for r in rows) == Counter((i, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
 
 
+def test_places_as_bytes():
+    rng = np.random.default_rng(2)
+    places = np.concatenate((rng.integers(0, 300, 999), rng.integers(0, 1 << 17, 999), rng.integers(0, 1 << 25, 999), [0, 191, 192, 192 + (63 << 16) - 1, 192 + (63 << 16)])).astype(np.uint32)
+    assert np.array_equal(sentencepieces._decoded(*sentencepieces._coded(places)), places) and len(sentencepieces._decoded(*sentencepieces._coded(places[:0]))) == 0
+
+
 def test_edges_that_do_not_come_together_are_an_error():
     import pyarrow as pa
 
