@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -38,9 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top}/pairflow-{uuid.uuid4().hex}"
 
 
-#: Tables in the shared folder that are there still, with their sessions, and the scopes that are open.
+#: Tables in the shared folder that are there still, with their sessions.
 _there: dict[str, SparkSession] = {}
-_scopes: list[list[tuple[str, DataFrame]]] = []
+
+
+class _Open(threading.local):
+    """The scopes that are open in a thread."""
+
+    def __init__(self):
+        self.scopes: list[list[tuple[str, DataFrame]]] = []
+
+
+_open = _Open()
 
 
 def written(frame: DataFrame) -> DataFrame:
@@ -54,8 +64,8 @@ def written(frame: DataFrame) -> DataFrame:
     _there[path] = spark
     frame.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
-    if _scopes:
-        _scopes[-1].append((path, out))
+    if _open.scopes:
+        _open.scopes[-1].append((path, out))
     return out
 
 
@@ -76,15 +86,15 @@ def _clear() -> None:
 def scratch() -> Iterator[list[DataFrame]]:
     """Tables written inside are deleted at the end, but for those in the list that is given, which the outer scope takes over."""
     kept: list[DataFrame] = []
-    _scopes.append([])
+    _open.scopes.append([])
     try:
         yield kept
     finally:
-        for path, frame in _scopes.pop():
+        for path, frame in _open.scopes.pop():
             if not any(frame is x for x in kept):
                 _delete(path)
-            elif _scopes:
-                _scopes[-1].append((path, frame))
+            elif _open.scopes:
+                _open.scopes[-1].append((path, frame))
 
 
 def rows_upto(frame: DataFrame, bound: int) -> bool:
