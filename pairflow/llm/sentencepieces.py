@@ -179,14 +179,20 @@ def _blocks(model, block_words: int):
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             of_word, n_of = np.array(parts, np.uint32), np.array(lengths, np.int64)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            n_units = np.bincount(owner, weights=n_of[flat], minlength=len(sizes)).astype(np.int64)
-            every = _ragged(of_word, n_of, flat)
-            often = np.argsort(-np.bincount(every, minlength=len(units)), kind="stable")
+            ends = np.concatenate([[0], *(np.cumsum(n_of[t]) for t in tokens)]) if tokens else np.zeros(1, np.int64)
+            at = 0
+            for t in tokens:
+                ends[at + 1 : at + 1 + len(t)] += ends[at]
+                at += len(t)
+            n_units = np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])
+            # A word's units count as often as it does; places are looked up a part at a time, so that only bytes are held of all.
+            seen = sum(np.bincount(t, minlength=len(n_of)) for t in tokens)
+            often = np.argsort(-np.bincount(of_word, weights=np.repeat(seen, n_of), minlength=len(units)), kind="stable")
             place = np.empty(len(units), np.uint32)
             place[often] = np.arange(len(units), dtype=np.uint32)
-            documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n_units, rank[often], *_coded(place[every])]
+            of_word, begin = place[of_word], np.cumsum(n_of) - n_of
+            per_part = [_coded(_ragged(of_word, n_of, t, begin)) for t in tokens] or [_coded(np.zeros(0, np.uint32))]
+            documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n_units, rank[often], *map(np.concatenate, zip(*per_part, strict=True))]
             row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [pack(_pack_units([units[i] for i in order.tolist()]))], [pack(documents)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "n_units", "units", "documents"])
 
