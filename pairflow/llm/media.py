@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import together
+
 SAMPLES = 576
 UNIT = 576
 #: Fixed values of the format, in kbit/s by index 1 to 14: MPEG-1 layers I, II, III, then MPEG-2 and 2.5 layer I, and layers II and III.
@@ -277,10 +279,10 @@ MEDIA = "media binary, n_bytes long, samples long, rate int, seek_offsets array<
 
 
 def encode_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (doc_id, text) to (doc_id, media): the files themselves."""
+    """For mapInArrow: (doc_id, text) to (doc_id, media): the files themselves, those of about a megabyte of text at a time."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
+        for s in together(batch["text"]):
+            part = batch.slice(s.start, s.stop - s.start)
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([write_media(*payload_of(t.as_py())) for t in part["text"]], pa.binary())], names=["doc_id", "media"])
 
 
@@ -330,5 +332,8 @@ def media_index(files: DataFrame, key: str, media: str) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Writes each text as a file, reads it back and describes it. Memory holds a few files at a time."""
-    return media_files(docs).mapInArrow(digest_media, OUTPUT)
+    """Writes each text as a file, reads it back and describes it. Memory holds a few files at a time.
+
+    Both steps run in one Python task, so that no file goes through the JVM.
+    """
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: digest_media(encode_media(batches)), OUTPUT)

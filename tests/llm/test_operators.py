@@ -788,6 +788,22 @@ def test_media(spark, awkward, empty):
     assert found == expected and media.media_digests(empty).count() == 0
 
 
+def test_media_files_stay_in_one_python_task(awkward):
+    plan = media.media_digests(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_media_files_are_written_a_few_at_a_time():
+    """Long texts come one by one, short ones many together; none is lost."""
+    import pyarrow as pa
+
+    texts = ["a" * (1 << 20), "b" * (1 << 21), *["c"] * 100]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(102)), "text": texts})
+    parts = list(media.encode_media(iter([batch])))
+    assert [p.num_rows for p in parts] == [1, 1, 100]
+    assert [i for p in parts for i in p["doc_id"].to_pylist()] == list(range(102))
+
+
 def test_media_reader_finds_frames_again():
     payload = bytes(random.Random(1).randrange(256) for _ in range(576 * 6))
     data = media.write_media(payload, 99)
