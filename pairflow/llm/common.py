@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from typing import NamedTuple
 
@@ -121,6 +122,23 @@ class Shared:
         return self._own
 
 
+def release() -> None:
+    """Gives back to the system what Arrow and the C library keep for later: a worker waits for its next task with all that it ever held."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(f: Callable) -> Callable:
+    """For mapInArrow: the same function, which gives memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 U64 = np.uint64
 _MUL = (U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53))
 

@@ -30,27 +30,27 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, together, written
+from .common import Shared, release, releasing, together, written
 from .language_model import pack, unpack
 
 BLANK = "▁"
-#: Occurrences of words in a block, about.
+#: Occurrences of words in a block, about. Texts count as words of eight bytes at least, so that a few without blanks end a block too.
 BLOCK_WORDS = 6_000_000
+#: Bytes of text that are cut at a time, and places of units that are looked up at a time.
+CUT_BYTES, LOOKED_UP = 4 << 20, 1 << 20
 #: Units of all blocks that a bucket gets, about, and buckets in a partition.
 BUCKET_UNITS, TOGETHER = 40_000, 4
 #: How much less than the worst piece a character without one scores.
 UNKNOWN_PENALTY = 10.0
-_WORD = re.compile(r" +[^ ]*")
 
 
 class Model:
@@ -85,32 +85,47 @@ class Model:
         raw = value.to_bytes((value.bit_length() + 7) // 8 or 1, "big")
         return [self.bytes.get(b, self.unknown) for b in raw] if self.bytes else [self.unknown]
 
-    def words(self, text: str | None) -> list[str]:
-        """The words of a text with a blank before it, each with its blanks."""
-        if not text:
-            return []
-        text = " " + text.replace(BLANK, " ")
-        return [text] if self.spans_blanks else _WORD.findall(text)
-
-    def units(self, words: list[str]) -> Iterator[list[str]]:
-        """Each word, cut wherever no piece has both neighbours."""
-        if not words:
-            return
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts that begin with one more blank, each with the blanks before it but for one, and how many each text has."""
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), BLANK, " ")
+        full = pc.binary_length(texts).to_numpy() > 0
+        if self.spans_blanks:
+            return texts.filter(pa.array(full)), full.astype(np.int64)
+        lists = pc.split_pattern(texts, " ")
+        words, n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+        there = pc.binary_length(words).to_numpy() > 0
+        if there.all():
+            return words, n
+        # Blanks in a row leave empty strings, which go with the word after them or end their text.
+        last = there.copy()
+        last[np.cumsum(n) - 1] = True
+        at = np.flatnonzero(last)
+        blanks = np.diff(at, prepend=-1) - 1
+        owner = np.repeat(np.arange(len(n)), n)[at]
+        kept = full[owner]
+        words = pc.binary_join_element_wise(pc.binary_repeat(pa.scalar(" "), pa.array(blanks[kept])), words.take(pa.array(at[kept])), "")
+        return words, np.bincount(owner[kept], minlength=len(n))
+
+    def cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of words, one after another, and how many each has: a word is cut wherever no piece has both neighbours."""
+        if not len(words):
+            return pa.array([], pa.binary()), np.zeros(0, np.int64)
         kinds, inside = self._tables()
-        text = "".join(words)
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        offsets, raw = _inner(words)
+        chars = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = kinds[chars]
+        begin = np.flatnonzero((raw & 0xC0) != 0x80)
         starts = np.ones(len(chars), bool)
         starts[1:] = ~inside[kind[:-1], kind[1:]]
-        ends = np.cumsum([len(w) for w in words])
-        starts[ends[:-1]] = True
-        cuts = np.flatnonzero(starts)
-        last = np.searchsorted(cuts, ends).tolist()
-        cuts = [*cuts.tolist(), len(chars)]
-        at = 0
-        for stop in last:
-            yield [text[cuts[i] : cuts[i + 1]] for i in range(at, stop)]
-            at = stop
+        starts[np.searchsorted(begin, offsets[:-1])] = True
+        cuts = np.append(begin[starts], len(raw))
+        return _strings(cuts, raw), np.diff(np.searchsorted(cuts, offsets))
+
+    def units(self, words: list[str]) -> Iterator[list[str]]:
+        """Each word's units."""
+        units, n = self.cut(pa.array(words, pa.string()))
+        for some in np.split(np.arange(len(units)), np.cumsum(n)[:-1]) if words else ():
+            yield [u.decode() for u in units.take(pa.array(some)).to_pylist()]
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Every character's number (0: in no pair), and which pairs of numbers are inside a piece."""
@@ -126,6 +141,24 @@ class Model:
         return self._kinds
 
 
+def _inner(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins, and the end; all bytes."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    raw = strings.buffers()[2]
+    return offsets - offsets[0], np.frombuffer(raw or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def _strings(offsets: np.ndarray, raw: np.ndarray) -> pa.Array:
+    """The reverse of ``_inner``."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def _one_dictionary(parts: list[pa.DictionaryArray]) -> tuple[list[np.ndarray], pa.Array]:
+    """The parts' places in one dictionary, and that."""
+    chunks = pa.chunked_array(parts).unify_dictionaries().chunks
+    return [c.indices.to_numpy() for c in chunks], chunks[0].dictionary
+
+
 def _ragged(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
     """The chosen lists, one after another, of lists that lie one after another."""
     begin, each = np.cumsum(lengths) - lengths if begin is None else begin, lengths[chosen]
@@ -143,21 +176,21 @@ def _coded(places: np.ndarray) -> list[np.ndarray]:
 
 
 def _decoded(first: np.ndarray, high: np.ndarray, low: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    out = first.astype(np.int64)
+    out = first.astype(np.uint32)
     far = first >= 192
-    rest = (out[far] - 192 << 16) + (high.astype(np.int64) << 8) + low
+    rest = (out[far] - 192 << 16) + (high.astype(np.uint32) << 8) + low
     rest[first[far] == 255] = whole
     out[far] = rest + 192
     return out
 
 
-def _pack_units(units: list[bytes]) -> list[np.ndarray]:
-    return [np.array([len(u) for u in units], np.uint32), np.frombuffer(b"".join(units), np.uint8)]
+def _pack_units(offsets: np.ndarray, raw: np.ndarray) -> bytes:
+    return pack([np.diff(offsets).astype(np.uint32), raw[offsets[0] : offsets[-1]]])
 
 
-def _unpack_units(sizes: np.ndarray, raw: np.ndarray) -> list[bytes]:
-    raw, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+def _unpack_units(data: bytes) -> pa.Array:
+    sizes, raw = unpack(data)
+    return _strings(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), raw)
 
 
 _BLOCK = "block long, n_units long, units binary, documents binary"
@@ -167,52 +200,48 @@ def _blocks(model, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For every block its distinct units by hash, and its documents as places in order of frequency."""
         own = model.value
-        ids, sizes, tokens = [], [], []
-        words: dict[str, int] = {}
-        places: dict[str, int] = {}
-        parts, lengths = [], []
+        ids, sizes, words = [], [], []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            units = [u.encode("utf-8", "surrogatepass") for u in places]
-            order = np.argsort(np.array([zlib.crc32(u) for u in units], np.uint32), kind="stable")
+            tokens, vocabulary = _one_dictionary(words)
+            words.clear()
+            vocabulary = pc.binary_join_element_wise(" ", vocabulary, "")
+            begin = _inner(vocabulary)[0][:-1]
+            parts = np.flatnonzero(np.diff(begin // CUT_BYTES, prepend=-1)).tolist() or [0]
+            cut = [own.cut(vocabulary.slice(a, b - a)) for a, b in zip(parts, [*parts[1:], len(vocabulary)], strict=True)]
+            n_of = np.concatenate([n for _, n in cut])
+            of_word, units = _one_dictionary([u.dictionary_encode() for u, _ in cut])
+            of_word = np.concatenate(of_word)
+            del vocabulary, cut
+            order = np.argsort(np.array([zlib.crc32(u) for u in units.to_pylist()], np.uint32), kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            of_word, n_of = np.array(parts, np.uint32), np.array(lengths, np.int64)
-            ends = np.concatenate([[0], *(np.cumsum(n_of[t]) for t in tokens)]) if tokens else np.zeros(1, np.int64)
-            at = 0
-            for t in tokens:
-                ends[at + 1 : at + 1 + len(t)] += ends[at]
-                at += len(t)
-            n_units = np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])
+            n_units = [np.diff(np.concatenate(([0], np.cumsum(n_of[t])))[np.concatenate(([0], np.cumsum(n)))]) for t, n in zip(tokens, sizes, strict=True)]
             # A word's units count as often as it does; places are looked up a part at a time, so that only bytes are held of all.
             seen = sum(np.bincount(t, minlength=len(n_of)) for t in tokens)
             often = np.argsort(-np.bincount(of_word, weights=np.repeat(seen, n_of), minlength=len(units)), kind="stable")
             place = np.empty(len(units), np.uint32)
             place[often] = np.arange(len(units), dtype=np.uint32)
             of_word, begin = place[of_word], np.cumsum(n_of) - n_of
-            per_part = [_coded(_ragged(of_word, n_of, t, begin)) for t in tokens] or [_coded(np.zeros(0, np.uint32))]
-            documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n_units, rank[often], *map(np.concatenate, zip(*per_part, strict=True))]
-            row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [pack(_pack_units([units[i] for i in order.tolist()]))], [pack(documents)]]
+            per_part = [_coded(_ragged(of_word, n_of, t, begin)) for t in tokens]
+            documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.concatenate(n_units), rank[often], *map(np.concatenate, zip(*per_part, strict=True))]
+            row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [_pack_units(*_inner(units.take(pa.array(order))))], [pack(documents)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "n_units", "units", "documents"])
 
         for batch in batches:
             given = batch["doc_id"].to_pylist()
-            for s in together(batch["text"]):
-                found = [own.words(x.as_py()) for x in batch["text"].slice(s.start, s.stop - s.start)]
-                new = list(dict.fromkeys(w for one in found for w in set(one).difference(words)))
-                for w, cut in zip(new, own.units(new), strict=True):
-                    words[w] = len(words)
-                    parts.extend([places.setdefault(u, len(places)) for u in cut])
-                    lengths.append(len(cut))
-                tokens.append(np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.uint32, sum(map(len, found))))
+            for s in together(batch["text"], CUT_BYTES):
+                texts = batch["text"].slice(s.start, s.stop - s.start)
+                found, n = own.words(texts)
+                words.append(found.dictionary_encode())
                 ids += given[s]
-                sizes += map(len, found)
-                count += len(tokens[-1]) + len(found)
+                sizes.append(n)
+                count += max(len(found) + len(n), (pc.sum(pc.binary_length(texts)).as_py() or 0) // 8)
                 if count >= block_words:
                     yield flush()
-                    for held in (ids, sizes, tokens, words, places, parts, lengths):
-                        held.clear()
+                    ids.clear()
+                    sizes.clear()
                     count = 0
         if ids:
             yield flush()
@@ -228,10 +257,11 @@ def _requests(bits: int):
         """A block's units, in order of their hashes, to the buckets that have any."""
         for batch in batches:
             for block, packed in zip(batch["block"].to_pylist(), batch["units"], strict=True):
-                units = _unpack_units(*unpack(packed.as_py()))
-                bucket = np.array([zlib.crc32(u) for u in units], np.int64) >> (32 - bits)
+                units = _unpack_units(packed.as_py())
+                bucket = np.array([zlib.crc32(u) for u in units.to_pylist()], np.int64) >> (32 - bits)
                 first = np.flatnonzero(np.diff(bucket, prepend=-1))
-                rows = [pack(_pack_units(units[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(units)])]
+                offsets, raw = _inner(units)
+                rows = [_pack_units(offsets[a : b + 1], raw) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(units)])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([block] * len(first), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "block", "payload"])
 
     return run
@@ -240,15 +270,19 @@ def _requests(bits: int):
 _UNITS = "bucket int, place int, unit string, payload binary"
 
 
-def _distinct(rows):
+def _distinct(rows: pa.Table) -> pa.Table:
     """Of a bucket: a row with every block's units as places (place -1), then the distinct units in order."""
-    import pandas as pd
-
-    places: dict[bytes, int] = {}
-    asked = [[places.setdefault(u, len(places)) for u in _unpack_units(*unpack(x))] for x in rows["payload"]]
-    payload = pack([rows["block"].to_numpy(np.int64), np.array([len(x) for x in asked], np.int64), np.array([i for x in asked for i in x], np.uint32)])
-    n = len(places)
-    return pd.DataFrame({"bucket": np.full(n + 1, rows["bucket"].iloc[0]), "place": np.arange(-1, n), "unit": [None, *(u.decode("utf-8", "surrogatepass") for u in places)], "payload": [payload] + [None] * n})
+    asked = [_unpack_units(x.as_py()).dictionary_encode() for x in rows["payload"]]
+    places, units = _one_dictionary(asked)
+    payload = pack([rows["block"].to_numpy().astype(np.int64), np.array([len(x) for x in places], np.int64), np.concatenate(places).astype(np.uint32)])
+    n = len(units)
+    columns = [
+        pa.array(np.full(n + 1, rows["bucket"][0].as_py(), np.int32)),
+        pa.array(np.arange(-1, n, dtype=np.int32)),
+        pa.concat_arrays([pa.nulls(1, pa.string()), units.cast(pa.string())]),
+        pa.concat_arrays([pa.array([payload], pa.binary()), pa.nulls(n, pa.binary())]),
+    ]
+    return pa.Table.from_arrays(columns, names=["bucket", "place", "unit", "payload"])
 
 
 def edges_of(units: DataFrame, pieces: DataFrame, longest: int, unknown_score: float) -> DataFrame:
@@ -368,7 +402,7 @@ def _answers(model):
             return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "bucket", "payload"])
 
         for batch in batches:
-            edge = [i for i, p in enumerate(batch["place"].to_pylist()) if p == -1]
+            edge = np.flatnonzero(batch["place"].to_numpy() == -1).tolist()
             for lo, hi in zip([0, *edge], [*edge, batch.num_rows], strict=True):
                 part = batch.slice(lo, hi - lo)
                 if not part.num_rows:
@@ -391,25 +425,23 @@ def _answers(model):
     return run
 
 
-def _of_block(blocks, answers) -> tuple:
-    """A block's document ids (and which are null), units of each, all units' places, and every unit's ids as one array with lengths, by place."""
-    ids, null, sizes, rank, *tokens = unpack(blocks["documents"].iloc[0])
-    parts = [unpack(x) for x in answers.sort_values("bucket")["payload"]]
+def _of_block(blocks: pa.Table, answers: pa.Table) -> tuple:
+    """A block's document ids, units of each, all units' places, and every unit's ids as one array with lengths, by place."""
+    ids, null, sizes, rank, *tokens = unpack(blocks["documents"][0].as_py())
+    parts = [unpack(x.as_py()) for x in answers.sort_by("bucket")["payload"]]
     length = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int32)
     if len(length) != len(rank):
         raise RuntimeError("a block's units did not all come back")
     rank = rank.astype(np.int64)
-    return ids, null.astype(bool), sizes, _decoded(*tokens), _ragged(flat, length, rank), length[rank]
-
+    return pa.array(ids, mask=null.astype(bool)), sizes, _decoded(*tokens), _ragged(flat, length, rank), length[rank]
 
-def _ids_of(key, blocks, answers):
-    import pandas as pd
 
-    ids, null, sizes, tokens, flat, length = _of_block(blocks, answers)
-    every = _ragged(flat, length, tokens)
-    per_doc = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=length[tokens], minlength=len(sizes)).astype(np.int64)
-    return pd.DataFrame({"doc_id": pd.array(np.where(null, None, ids), dtype="Int64"), "ids": np.split(every, np.cumsum(per_doc)[:-1])})
+def _ids_of(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+    ids, sizes, tokens, flat, length = _of_block(blocks, answers)
+    # Where each document's ids end: those of its units.
+    ends = np.concatenate(([0], np.cumsum(length[tokens])))[np.concatenate(([0], np.cumsum(sizes)))]
+    return pa.Table.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_ragged(flat, length, tokens)))], names=["doc_id", "ids"])
 
 
 def _model(path: str | None) -> Model:
@@ -422,20 +454,20 @@ def _model(path: str | None) -> Model:
 
 def _paths(docs: DataFrame, model: Model, shared: Shared, block_words: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of documents, and the answers to them: their units' ids."""
-    blocks = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(shared, block_words), _BLOCK))
+    blocks = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(_blocks(shared, block_words)), _BLOCK))
     buckets = 1 << ((blocks.agg(F.sum("n_units")).first()[0] or 0) // BUCKET_UNITS).bit_length()
-    asked = blocks.where("n_units > 0").select("block", "units").mapInArrow(_requests(buckets.bit_length() - 1), _REQUEST)
+    asked = blocks.where("n_units > 0").select("block", "units").mapInArrow(releasing(_requests(buckets.bit_length() - 1)), _REQUEST)
     # A bucket is small to move and much to work on, so partitions are not merged by size.
-    units = asked.repartition(-(-buckets // TOGETHER), "bucket").groupBy("bucket").applyInPandas(_distinct, _UNITS)
-    lattice = edges_of(units, model.table(docs.sparkSession), model.longest, model.unknown_score).mapInArrow(_grouped, _LATTICE)
-    return blocks, folded(lattice).mapInArrow(_answers(shared), _ANSWER)
+    units = asked.repartition(-(-buckets // TOGETHER), "bucket").groupBy("bucket").applyInArrow(_distinct, _UNITS)
+    lattice = edges_of(units, model.table(docs.sparkSession), model.longest, model.unknown_score).mapInArrow(releasing(_grouped), _LATTICE)
+    return blocks, folded(lattice).mapInArrow(releasing(_answers(shared)), _ANSWER)
 
 
 def encoded(docs: DataFrame, path: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id and ids of every document."""
     model = _model(path)
     blocks, answers = _paths(docs, model, Shared(docs.sparkSession, model), block_words)
-    return blocks.select("block", "documents").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_ids_of, "doc_id long, ids array<int>")
+    return blocks.select("block", "documents").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ids_of, "doc_id long, ids array<int>")
 
 
 def _decode(model):
@@ -457,26 +489,41 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 _DIGEST = "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, decoded_sha256 string"
 
 
+def _n_chars(texts: pa.Array) -> np.ndarray:
+    """Code points of each; what is no character counts as the signs that replace it."""
+    try:
+        return pc.utf8_length(texts.cast(pa.string())).to_numpy().astype(np.int64)
+    except pa.ArrowInvalid:
+        return np.array([len(x.decode("utf-8", "replace")) for x in texts.to_pylist()], np.int64)
+
+
 def _digest(model):
-    def run(key, blocks, answers):
+    def digests(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         """A text's pieces are its units', and so is the text that they stand for."""
-        import pandas as pd
-
-        ids, null, sizes, tokens, flat, length = _of_block(blocks, answers)
-        raw, each = model.value.raw, flat.tolist()
-        ends = np.cumsum(length).tolist()
-        of_unit = [b"".join([raw[i] for i in each[a:b]]) for a, b in zip([0, *ends], ends)]
-        chars = np.array([len(x.decode("utf-8", "replace")) for x in of_unit], np.int64)
-        flat, begin = flat.astype("<u4"), np.cumsum(length) - length
+        ids, sizes, tokens, flat, length = _of_block(blocks, answers)
+        bounds = np.concatenate(([0], np.cumsum(length)))
+        offsets, raw = _inner(pa.array(model.value.raw, pa.binary()).take(pa.array(flat)))
+        spelt, pieces = _strings(offsets[bounds], raw), _strings(bounds * 4, flat.astype("<u4").view(np.uint8))
+        chars = _n_chars(spelt)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
         rows, at = [], 0
-        for n in sizes.tolist():
-            part = tokens[at : at + n]
-            at += n
-            own = _ragged(flat, length, part, begin)
-            text = b"".join(map(of_unit.__getitem__, part.tolist()))[1:]
-            rows.append((len(own), zlib.crc32(own.tobytes()), int(chars[part].sum()) - (n > 0), hashlib.sha256(text).hexdigest()))
-        out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_chars", "decoded_sha256"])
-        out.insert(0, "doc_id", pd.array(np.where(null, None, ids), dtype="Int64"))
+        while at < len(sizes):
+            # As many documents as have about so many units, one at least.
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + LOOKED_UP, side="right")) - 1)
+            part, within = pa.array(tokens[ends[at] : ends[stop]]), ends[at : stop + 1] - ends[at]
+            (of_ids, own), (of_text, text) = _inner(pieces.take(part)), _inner(spelt.take(part))
+            n_chars = np.diff(np.concatenate(([0], np.cumsum(chars[tokens[ends[at] : ends[stop]]])))[within]) - (sizes[at:stop] > 0)
+            own, text, of_ids, of_text = memoryview(own), memoryview(text), of_ids[within].tolist(), of_text[within].tolist()
+            for i, n in enumerate(n_chars.tolist()):
+                a, b = of_ids[i], of_ids[i + 1]
+                rows.append(((b - a) // 4, zlib.crc32(own[a:b]), n, hashlib.sha256(text[of_text[i] + 1 : of_text[i + 1]]).hexdigest()))
+            at = stop
+        columns = list(zip(*rows, strict=True))
+        return pa.Table.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[x.split()[0] for x in _DIGEST.split(", ")])
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = digests(blocks, answers)
+        release()
         return out
 
     return run
@@ -490,4 +537,4 @@ def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     model = _model(path)
     shared = Shared(docs.sparkSession, model)
     blocks, answers = _paths(docs, model, shared, BLOCK_WORDS)
-    return blocks.select("block", "documents").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_digest(shared), _DIGEST)
+    return blocks.select("block", "documents").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_digest(shared), _DIGEST)

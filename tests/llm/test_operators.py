@@ -596,6 +596,49 @@ def test_piece_digests(spark, awkward):
         assert Counter((r.doc_id, r.decoded_chars, r.decoded_sha256) for r in rows) == Counter((i, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
 
 
+def blocks_of(texts, block_words):
+    import pyarrow as pa
+
+    class Own:
+        value = sentencepieces._model(None)
+
+    Own.value._tables()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    return sentencepieces._blocks(Own, block_words)(iter([batch]))
+
+
+def test_blocks_hold_few_bytes_of_a_word():
+    """Distinct words are no Python objects: an executor's workers hold blocks side by side."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(1000)) for _ in range(100)]
+    blocks = blocks_of(texts, 10**6)
+    tracemalloc.start()
+    rows = list(blocks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["n_units"][0].as_py() > 10_000 for r in rows] == [True]
+    assert peak < 200 * 100_000
+
+
+def test_long_texts_without_blanks_end_a_block():
+    n = sentencepieces.CUT_BYTES + 1
+    assert [len(sentencepieces.unpack(r["documents"][0].as_py())[0]) for r in blocks_of(["x" * n, None, "y" * n, "z"], n // 8)] == [1, 2, 1]
+
+
+def test_words_and_their_blanks():
+    import pyarrow as pa
+
+    model = sentencepieces._model(None)
+    texts = ["a  b", None, "", " ", "  c", "d   ", "▁e▁▁f", "g h"]
+    for some in (texts, ["a b", "c"], [None], [], pa.array(["x", "  skipped", *texts]).slice(2)):
+        words, n = model.words(some if isinstance(some, pa.Array) else pa.array(some, pa.string()))
+        given = some.to_pylist() if isinstance(some, pa.Array) else some
+        expected = [re.findall(r" +[^ ]*", " " + t.replace("▁", " ")) if t else [] for t in given]
+        assert [" " + w for w in words.to_pylist()] == [w for one in expected for w in one] and n.tolist() == [len(x) for x in expected]
+
+
 def test_places_as_bytes():
     rng = np.random.default_rng(2)
     places = np.concatenate((rng.integers(0, 300, 999), rng.integers(0, 1 << 17, 999), rng.integers(0, 1 << 25, 999), [0, 191, 192, 192 + (63 << 16) - 1, 192 + (63 << 16)])).astype(np.uint32)
