@@ -139,6 +139,32 @@ def releasing(f: Callable) -> Callable:
     return run
 
 
+def inner(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins, and the end; all bytes."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    raw = strings.buffers()[2]
+    return offsets - offsets[0], np.frombuffer(raw or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def strings(offsets: np.ndarray, raw: np.ndarray) -> pa.Array:
+    """The reverse of ``inner``."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def one_dictionary(parts: list[pa.DictionaryArray]) -> tuple[list[np.ndarray], pa.Array]:
+    """The parts' places in one dictionary, and that."""
+    chunks = pa.chunked_array(parts).unify_dictionaries().chunks
+    return [c.indices.to_numpy() for c in chunks], chunks[0].dictionary
+
+
+def in_parts(words: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes; of nothing one, which is empty."""
+    begin = inner(words)[0][:-1]
+    at = np.flatnonzero(np.diff(begin // most, prepend=-1)).tolist() or [0]
+    for a, b in zip(at, [*at[1:], len(words)], strict=True):
+        yield words.slice(a, b - a)
+
+
 U64 = np.uint64
 _MUL = (U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53))
 

@@ -14,31 +14,32 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_parts, inner, one_dictionary, releasing, strings, together
+
 CAPACITY = 4096
 END_ID = 2
 GROUP_ROWS = 2000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Distinct words whose ids a task keeps.
-CACHED_WORDS = 600_000
-#: Longer words go to the tokenizer each time.
-CACHED_LENGTH = 64
+#: Bytes of text whose distinct words are tokenised together; of texts, and of distinct words, that are worked on at a time.
+GATHERED_BYTES, TEXT_BYTES, WORD_BYTES = 32 << 20, 4 << 20, 1 << 18
 
 
 #: Ends a word in the fast path; texts that hold it, or any character outside ``_PLAIN``, take the slow path.
 _END = "\ue000"
 #: Words of ASCII and Latin letters and signs: composed as they are, and lower-cased one by one.
-_PLAIN = regex.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]*")
-_PLAIN_LINES = regex.compile(r"(?:[\x21-\x3b\x3d-\x7e\u00a1-\u012f\u0131-\u024f\n]|<(?!\|))*")
+_PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f\n]*")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -77,8 +78,12 @@ def _merger(model: dict) -> tuple:
     return core, lookup, ranks[b"\n"]
 
 
+def _is_plain(words: str) -> bool:
+    return "<|" not in words and bool(_PLAIN.fullmatch(words))
+
+
 class WordTokenizer:
-    """A tokenizer that drops white space, with the ids of frequent words kept.
+    """A tokenizer that drops white space; each distinct word is tokenised once.
 
     No token spans white space, so a text's ids are those of its words between
     blanks and line feeds, one after another. Plain words are merged by the
@@ -92,39 +97,47 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             self.core, self.lookup, self.newline = _merger(json.load(f)["model"])
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
-        plain = words if _PLAIN_LINES.fullmatch("\n".join(words)) else [w for w in words if _PLAIN.fullmatch(w) and "<|" not in w]
-        out = {}
-        if plain:
-            ended = _SPLIT.sub(rf"\g<0>{_END}", "\n".join(plain).lower() + "\n")
-            ranks = np.asarray(self.core.encode_ordinary(ended), dtype=np.int64)
-            ids = self.lookup[ranks].tobytes()
-            stops = (np.flatnonzero(ranks == self.newline) * 4).tolist()
-            out = {w: ids[at:stop] for w, at, stop in zip(plain, [0, *(x + 4 for x in stops)], stops)}
-        for w in words if len(out) < len(words) else ():
-            if w not in out:
-                out[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids, in order."""
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(set(text.replace("\n", " ").split(" ")).difference(known))
-        own = self._ids(list(new)) if new else {}
-        long = {w: own.pop(w) for w in [w for w in own if len(w) > CACHED_LENGTH]}
-        known.update(own)
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join(map(known.__getitem__, words))
-            except KeyError:
-                yield b"".join([known[w] if w in known else long[w] for w in words])
+
+    def _plain_ids(self, words: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, one a line, and how many each has."""
+        ended = _SPLIT.sub(rf"\g<0>{_END}", words.lower() + "\n")
+        ranks = np.asarray(self.core.encode_ordinary(ended), dtype=np.int64)
+        stops = ranks == self.newline
+        return self.lookup[ranks[~stops]], np.diff(np.flatnonzero(stops), prepend=-1) - 1
+
+    def _ids(self, words: list[str]) -> pa.Array:
+        """Each word's ids."""
+        lines = "\n".join(words)
+        if words and _is_plain(lines):
+            flat, n = self._plain_ids(lines)
+            return strings(np.concatenate(([0], np.cumsum(n))) * 4, flat.view(np.uint8))
+        plain = np.array([_is_plain(w) for w in words], bool)
+        out = [pa.array([np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w, other in zip(words, ~plain, strict=True) if other], pa.binary())]
+        if plain.any():
+            out.append(self._ids([w for w, own in zip(words, plain, strict=True) if own]))
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(plain, kind="stable")] = np.arange(len(words))
+        return pa.concat_arrays(out).take(pa.array(place))
+
+    def encode(self, texts: list[str | None] | pa.ChunkedArray) -> Iterator[bytes]:
+        """Each text's ids, in order; none of a null."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.ChunkedArray) else pa.chunked_array([texts], pa.string())
+        parts, sizes = [], []
+        for chunk in texts.chunks:
+            for s in together(chunk, TEXT_BYTES):
+                words = pc.split_pattern(pc.replace_substring(pc.fill_null(chunk.slice(s.start, s.stop - s.start), ""), "\n", " "), " ")
+                parts.append(words.flatten().dictionary_encode())
+                sizes.append(words.value_lengths().to_numpy())
+        if not parts:
+            return
+        tokens, vocabulary = one_dictionary(parts)
+        del parts
+        ids = pa.concat_arrays([self._ids(some.to_pylist()) for some in in_parts(vocabulary, WORD_BYTES)])
+        for t, n in zip(tokens, sizes, strict=True):
+            offsets, raw = inner(ids.take(pa.array(t)))
+            raw, ends = raw.tobytes(), offsets[np.concatenate(([0], np.cumsum(n)))].tolist()
+            for a, b in zip(ends, ends[1:]):
+                yield raw[a:b]
 
 
 def cut(raw: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -136,14 +149,26 @@ def cut(raw: bytes, capacity: int) -> list[tuple[int, int, int]]:
 def pieces_of(path: str, capacity: int, end_id: int):
     """For mapInArrow: (doc_id, text) to the rows of ``PIECES``."""
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.ChunkedArray]]:
+        """Ids and texts of so many batches that most words are there more than once."""
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            ids += batch["doc_id"].to_pylist()
+            texts.append(batch["text"])
+            held += batch["text"].nbytes
+            if held >= GATHERED_BYTES:
+                yield ids, pa.chunked_array(texts)
+                ids, texts, held = [], [], 0
+        if ids:
+            yield ids, pa.chunked_array(texts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         ordinal = 0
-        for batch in batches:
+        for doc_ids, texts in gathered(batches):
             rows = []
-            ids_of = tokenizer.encode([x.as_py() or "" for x in batch["text"]])
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of, strict=True):
+            for doc_id, ids in zip(doc_ids, tokenizer.encode(texts), strict=True):
                 ids += end
                 for start, length, crc in cut(ids, capacity):
                     # Dealt by what the piece is and where it stands, never by its key alone: a key may have a third of all rows.
@@ -193,7 +218,7 @@ def _pack_group(capacity: int):
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces_of(path, capacity, end_id), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(pieces_of(path, capacity, end_id)), PIECES)
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:

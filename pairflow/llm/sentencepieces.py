@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, release, releasing, together, written
+from .common import Shared, in_parts, inner, one_dictionary, release, releasing, strings, together, written
 from .language_model import pack, unpack
 
 BLANK = "▁"
@@ -111,7 +111,7 @@ class Model:
         if not len(words):
             return pa.array([], pa.binary()), np.zeros(0, np.int64)
         kinds, inside = self._tables()
-        offsets, raw = _inner(words)
+        offsets, raw = inner(words)
         chars = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = kinds[chars]
         begin = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -119,7 +119,7 @@ class Model:
         starts[1:] = ~inside[kind[:-1], kind[1:]]
         starts[np.searchsorted(begin, offsets[:-1])] = True
         cuts = np.append(begin[starts], len(raw))
-        return _strings(cuts, raw), np.diff(np.searchsorted(cuts, offsets))
+        return strings(cuts, raw), np.diff(np.searchsorted(cuts, offsets))
 
     def units(self, words: list[str]) -> Iterator[list[str]]:
         """Each word's units."""
@@ -141,24 +141,6 @@ class Model:
         return self._kinds
 
 
-def _inner(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Where each string begins, and the end; all bytes."""
-    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
-    raw = strings.buffers()[2]
-    return offsets - offsets[0], np.frombuffer(raw or b"", np.uint8)[offsets[0] : offsets[-1]]
-
-
-def _strings(offsets: np.ndarray, raw: np.ndarray) -> pa.Array:
-    """The reverse of ``_inner``."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
-
-
-def _one_dictionary(parts: list[pa.DictionaryArray]) -> tuple[list[np.ndarray], pa.Array]:
-    """The parts' places in one dictionary, and that."""
-    chunks = pa.chunked_array(parts).unify_dictionaries().chunks
-    return [c.indices.to_numpy() for c in chunks], chunks[0].dictionary
-
-
 def _ragged(values: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
     """The chosen lists, one after another, of lists that lie one after another."""
     begin, each = np.cumsum(lengths) - lengths if begin is None else begin, lengths[chosen]
@@ -190,7 +172,7 @@ def _pack_units(offsets: np.ndarray, raw: np.ndarray) -> bytes:
 
 def _unpack_units(data: bytes) -> pa.Array:
     sizes, raw = unpack(data)
-    return _strings(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), raw)
+    return strings(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), raw)
 
 
 _BLOCK = "block long, n_units long, units binary, documents binary"
@@ -204,14 +186,12 @@ def _blocks(model, block_words: int):
         count = 0
 
         def flush() -> pa.RecordBatch:
-            tokens, vocabulary = _one_dictionary(words)
+            tokens, vocabulary = one_dictionary(words)
             words.clear()
             vocabulary = pc.binary_join_element_wise(" ", vocabulary, "")
-            begin = _inner(vocabulary)[0][:-1]
-            parts = np.flatnonzero(np.diff(begin // CUT_BYTES, prepend=-1)).tolist() or [0]
-            cut = [own.cut(vocabulary.slice(a, b - a)) for a, b in zip(parts, [*parts[1:], len(vocabulary)], strict=True)]
+            cut = [own.cut(some) for some in in_parts(vocabulary, CUT_BYTES)]
             n_of = np.concatenate([n for _, n in cut])
-            of_word, units = _one_dictionary([u.dictionary_encode() for u, _ in cut])
+            of_word, units = one_dictionary([u.dictionary_encode() for u, _ in cut])
             of_word = np.concatenate(of_word)
             del vocabulary, cut
             order = np.argsort(np.array([zlib.crc32(u) for u in units.to_pylist()], np.uint32), kind="stable")
@@ -226,7 +206,7 @@ def _blocks(model, block_words: int):
             of_word, begin = place[of_word], np.cumsum(n_of) - n_of
             per_part = [_coded(_ragged(of_word, n_of, t, begin)) for t in tokens]
             documents = [np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.concatenate(n_units), rank[often], *map(np.concatenate, zip(*per_part, strict=True))]
-            row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [_pack_units(*_inner(units.take(pa.array(order))))], [pack(documents)]]
+            row = [[int.from_bytes(os.urandom(8), "little", signed=True)], [len(units)], [_pack_units(*inner(units.take(pa.array(order))))], [pack(documents)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "n_units", "units", "documents"])
 
         for batch in batches:
@@ -260,7 +240,7 @@ def _requests(bits: int):
                 units = _unpack_units(packed.as_py())
                 bucket = np.array([zlib.crc32(u) for u in units.to_pylist()], np.int64) >> (32 - bits)
                 first = np.flatnonzero(np.diff(bucket, prepend=-1))
-                offsets, raw = _inner(units)
+                offsets, raw = inner(units)
                 rows = [_pack_units(offsets[a : b + 1], raw) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(units)])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array([block] * len(first), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "block", "payload"])
 
@@ -273,7 +253,7 @@ _UNITS = "bucket int, place int, unit string, payload binary"
 def _distinct(rows: pa.Table) -> pa.Table:
     """Of a bucket: a row with every block's units as places (place -1), then the distinct units in order."""
     asked = [_unpack_units(x.as_py()).dictionary_encode() for x in rows["payload"]]
-    places, units = _one_dictionary(asked)
+    places, units = one_dictionary(asked)
     payload = pack([rows["block"].to_numpy().astype(np.int64), np.array([len(x) for x in places], np.int64), np.concatenate(places).astype(np.uint32)])
     n = len(units)
     columns = [
@@ -502,8 +482,8 @@ def _digest(model):
         """A text's pieces are its units', and so is the text that they stand for."""
         ids, sizes, tokens, flat, length = _of_block(blocks, answers)
         bounds = np.concatenate(([0], np.cumsum(length)))
-        offsets, raw = _inner(pa.array(model.value.raw, pa.binary()).take(pa.array(flat)))
-        spelt, pieces = _strings(offsets[bounds], raw), _strings(bounds * 4, flat.astype("<u4").view(np.uint8))
+        offsets, raw = inner(pa.array(model.value.raw, pa.binary()).take(pa.array(flat)))
+        spelt, pieces = strings(offsets[bounds], raw), strings(bounds * 4, flat.astype("<u4").view(np.uint8))
         chars = _n_chars(spelt)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         rows, at = [], 0
@@ -511,7 +491,7 @@ def _digest(model):
             # As many documents as have about so many units, one at least.
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + LOOKED_UP, side="right")) - 1)
             part, within = pa.array(tokens[ends[at] : ends[stop]]), ends[at : stop + 1] - ends[at]
-            (of_ids, own), (of_text, text) = _inner(pieces.take(part)), _inner(spelt.take(part))
+            (of_ids, own), (of_text, text) = inner(pieces.take(part)), inner(spelt.take(part))
             n_chars = np.diff(np.concatenate(([0], np.cumsum(chars[tokens[ends[at] : ends[stop]]])))[within]) - (sizes[at:stop] > 0)
             own, text, of_ids, of_text = memoryview(own), memoryview(text), of_ids[within].tolist(), of_text[within].tolist()
             for i, n in enumerate(n_chars.tolist()):

@@ -814,6 +814,28 @@ def test_words_cut_as_the_tokenizer_does():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_tasks_words_are_tokenised_once_and_are_no_objects():
+    """Small batches are put together; distinct words take few bytes, also of several batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [None, "", *(" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(1000)) for _ in range(100)), "漢字 é <|endoftext|>\n\nx"]
+    pieces = packing.pieces_of(public_tokenizers.path("word_bpe_49k.json"), 4096, 2)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    whole = pa.Table.from_batches(pieces(iter([batch])))
+    small = list(pieces(iter([batch.slice(i, 1) for i in range(len(texts))])))
+    assert len(small) == 1 and pa.Table.from_batches(small).equals(whole)
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    tracemalloc.start()
+    for _ in tokenizer.encode(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 100_000
+
+
 # 10. Media
 
 
